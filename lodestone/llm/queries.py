@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import media, mixing, packing, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op3_mpeg_audio": media.op3_mpeg_audio,
+        "op4_source_mixing": mixing.op4_source_mixing,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mixing": mixing.SQL, "op10_warc": warc.SQL}
