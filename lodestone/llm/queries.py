@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, warc
+from . import language, media, mixing, packing, quality, warc
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_mpeg_audio": media.op3_mpeg_audio,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op8_language_id": language.op8_language_id,
         "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op4_source_mixing": mixing.SQL, "op5_quality_rules": quality.SQL, "op10_warc": warc.SQL}
