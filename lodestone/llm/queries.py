@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, packing, quality, warc
+from . import language, lines, media, mixing, packing, quality, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
         "op8_language_id": language.op8_language_id,
+        "op9_line_dedup": lines.op9_line_dedup,
         "op10_warc": warc.op10_warc,
     }
 
