@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, media, mixing, packing, quality, warc
+from . import jaccard, language, lines, media, mixing, packing, quality, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_mpeg_audio": media.op3_mpeg_audio,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op8_language_id": language.op8_language_id,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_warc": warc.op10_warc,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.SQL, "op5_quality_rules": quality.SQL, "op10_warc": warc.SQL}
+    return {"op4_source_mixing": mixing.SQL, "op5_quality_rules": quality.SQL, "op6_jaccard_join": jaccard.SQL, "op10_warc": warc.SQL}
