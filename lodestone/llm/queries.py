@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, media, mixing, packing, quality, warc
+from . import jaccard, language, lines, media, mixing, packing, quality, suffix, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_mpeg_audio": media.op3_mpeg_audio,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
