@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, media, mixing, packing, quality, suffix, warc
+from . import jaccard, language, lines, media, mixing, packing, passages, quality, suffix, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
+        "op7_passage_dedup": passages.op7_passage_dedup,
         "op8_language_id": language.op8_language_id,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_warc": warc.op10_warc,
