@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +56,29 @@ def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "doc_id long, line long, key binary, halves array<long>")
 
 
+def _pressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its text compressed (null stays null), before it is dealt out by document."""
+    names = docs.columns
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [None if t is None else tool.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
+
+    return docs.mapInArrow(press, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema))
+
+
 def _words_of(wanted: DataFrame) -> DataFrame:
-    """key, place and word hashes (8 bytes each) of the lines that ``wanted`` (text, doc_id,
+    """key, place and word hashes (8 bytes each) of the lines that ``wanted`` (doc_id, text pressed,
     lines: the places wanted) names."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc, text, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                rows = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+                rows = tool.decompress(text).split(b"\n") if text else []
                 for k in places:
                     if k < len(rows) and (words := rows[k].split()):
                         for column, x in zip(out, (doc, k, _key(words), b"".join(xxhash.xxh3_64_digest(w) for w in words))):
@@ -129,22 +144,24 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     suspects = halves.join(shared, "half", "left_semi").select("key").distinct()
     wanted = distinct.select("key", "first").join(suspects, "key", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # at most a document's own lines
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    suspects = common.cut(_words_of(texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]))), "suspects").dropDuplicates(["doc_id", "line", "key"])
-    variants = common.cut(_variants(suspects), "variants").withColumn("me", F.struct("doc_id", "line", "key"))
+    texts = _pressed(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"))
+    suspects = common.cut(_words_of(texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))).dropDuplicates(["doc_id", "line", "key"]), "suspects")
+    emitted = _variants(suspects)
+    several = emitted.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant")
+    variants = common.cut(emitted.join(several, "variant", "left_semi").select("variant", "cut", F.struct("doc_id", "line").alias("me")), "variants")
     # lines that agree after deleting a word at the same place differ in that word alone; a line that is a variant of others is one word shorter
     groups = variants.groupBy("variant", "cut").agg(F.min("me").alias("lead"), F.count("*").alias("n"))
     same = groups.where("cut >= 0 AND n > 1").select("variant", "cut", "lead")
     whole = groups.where("cut = -1").select("variant", F.col("lead").alias("whole"))
     shorter = groups.where("cut >= 0").groupBy("variant").agg(F.min("lead").alias("lead"))
     candidates = (
-        variants.join(same, ["variant", "cut"]).where("cut >= 0").select("me", "lead")
+        variants.join(same, ["variant", "cut"]).select("me", "lead")
         .unionByName(variants.where("cut >= 0").join(whole, "variant").select("me", F.col("whole").alias("lead")))
         .unionByName(whole.join(shorter, "variant").select(F.col("whole").alias("me"), "lead"))
-    ).where("lead.key <> me.key AND (lead.doc_id, lead.line) < (me.doc_id, me.line)").distinct()
-    of = suspects.select("key", "words").dropDuplicates(["key"])
-    pairs = candidates.select("me.*", F.col("lead.key").alias("lead_key")).join(of, "key").join(of.select(F.col("key").alias("lead_key"), F.col("words").alias("other")), "lead_key")
-    return _verify(pairs).distinct()
+    ).where("lead < me").distinct()
+    of = suspects.select(F.struct("doc_id", "line").alias("me"), "key", "words")
+    pairs = candidates.join(of, "me").join(of.select(F.col("me").alias("lead"), F.col("words").alias("other")), "lead")
+    return _verify(pairs.select("me.*", "key", "words", "other")).distinct()
 
 
 def drops(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -164,10 +181,11 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     the same text count as one document; an empty table stays empty."""
     gone = drops(docs, min_words, near_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "key", "near")).alias("_gone"))
     docs = docs.drop("n_lines", "n_exact", "n_near", "_gone")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left").drop("_id")
+    joined = _pressed(docs).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     names = docs.columns
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, counts = [], []
             at, last = batch.schema.get_field_index("text"), batch.schema.get_field_index("_gone")
@@ -176,7 +194,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
                     texts.append(None)
                     counts.append((0, 0, 0))
                     continue
-                rows, out, went = text.split("\n"), [], [0, 0]
+                rows, out, went = tool.decompress(text).decode("utf-8", "surrogatepass").split("\n"), [], [0, 0]
                 named = {(g["line"], g["key"]): g["near"] for g in gone or ()}
                 at_lines = {k for k, _ in named}
                 for k, line in enumerate(rows):
