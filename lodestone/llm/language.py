@@ -45,9 +45,10 @@ def trigrams(text: str | None) -> np.ndarray:
     letters = _is_letter()[points]
     if not letters.any():
         return np.zeros(0, np.int64)
-    points = np.where(letters, points, 32).astype(np.int64)
-    keep = letters | np.append(True, letters[:-1])
-    points = np.concatenate(([32], points[keep], [32]))
+    points = np.where(letters, points, 32)
+    points = points[letters | np.append(False, letters[:-1])]
+    points = np.concatenate(([32], points, [32] if points[-1] != 32 else []))
+    points = points.astype(np.int64)
     return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
 
 

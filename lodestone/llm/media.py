@@ -134,21 +134,19 @@ def parse(data: bytes) -> dict:
             p += 10 + n
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-    synced = False
     while at < end:
         found = _header(data[at : at + 4])
         after = at + found[0] if found else 0
-        if not found or after > end or not synced and after < end and not _header(data[after : after + 4]):
-            nxt = data.find(b"\xff", at + 1, end)
+        right = bool(found and found[3]) and _checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + found[3]]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if not found or after > end or not right and after < end and not _header(data[after : after + 4]):
+            nxt = data.find(b"\xff", at + 1, end)  # no frame unless its checksum is right or another follows
             out["skipped"] += (nxt if nxt >= 0 else end) - at
-            at, synced = (nxt if nxt >= 0 else end), False
+            at = nxt if nxt >= 0 else end
             continue
-        synced, (size, samples, hz, covered, side) = True, found
-        guarded = not data[at + 1] & 1
-        body = at + 4 + 2 * guarded + side
-        if covered:
-            out["checked"] += 1
-            out["right"] += _checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        size, samples, hz, covered, side = found
+        body = at + 4 + 2 * (not data[at + 1] & 1) + side
+        out["checked"] += covered > 0
+        out["right"] += right
         if not offsets and out["vbr"] is None and data[body : body + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
             table = {"frames": None, "bytes": None, "toc": b""}

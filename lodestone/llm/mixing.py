@@ -38,7 +38,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
-    """All columns of ``docs`` except text, and size, source_size, target, virtual_finish (of the
+    """All columns of ``docs`` except text and those named like the new ones, and size, source_size, target, virtual_finish (of the
     first pass) and taken (words the mix takes, at most ``most`` times size), globally sorted by
     virtual finish time.
 
@@ -46,7 +46,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     others; ties in the shuffle are broken by doc_id and size; repeated rows each have their turn;
     an empty table stays empty."""
     buckets = max(1, round(docs.count() ** 0.5))
-    kept = [c for c in docs.columns if c != "text" and not c.startswith("_")]
+    made = ("text", "size", "source_size", "target", "virtual_finish", "taken")
+    kept = [c for c in docs.columns if c not in made and not c.startswith("_")]
     sized = docs.select(
         *kept,
         F.regexp_count(common.whole(), F.lit(common.WORD_REGEX)).cast("long").alias("size"),
