@@ -23,14 +23,29 @@ def first_stage(records: DataFrame, cap: int) -> DataFrame:
     return scored.groupBy("s1", "cand", "cand_source").agg(F.sum("points").alias("stage1"))
 
 
+def _sides(records: DataFrame, side: str, key: str) -> DataFrame:
+    """The texts of a record and its token and number sets, made once for each record and not for
+    each of its pairs."""
+    whole = F.concat_ws(" ", "name", "addr")
+    sets = {"all": text.joined_tokens("name", "addr"), "tok_name": text.tokens("name"), "tok_addr": text.tokens("addr"), "num": text.numbers(whole)}
+    wanted = ("all", "tok_addr", "num") if side == "s1" else ("tok_name", "tok_addr", "num")
+    return records.select(F.col("entity_id").alias(key), F.col("name").alias(f"{side}_name"), F.col("addr").alias(f"{side}_addr"), *(sets[w].alias(f"{side}_{w}") for w in wanted))
+
+
 def second_stage(ranked: DataFrame, records: DataFrame) -> DataFrame:
     """Add stage2: stage 1 and fixed shares of exact fields, token and number measures.  The name
     measures compare all tokens of the query with the candidate's name tokens."""
-    pairs = blocking.with_text(ranked, records)
-    mine, name, addr = text.joined_tokens("s1_name", "s1_addr"), text.tokens("c_name"), text.tokens("c_addr")
-    numbers = [text.numbers(F.concat_ws(" ", f"{s}_name", f"{s}_addr")) for s in ("s1", "c")]
-    both = lambda f: sim.flag((F.col(f"s1_{f}") == F.col(f"c_{f}")) & (F.col(f"s1_{f}") != ""))
-    stage2 = F.col("stage1") + 25 * both("name") + 15 * both("addr") + 8 * sim.jaccard(mine, name, 0.0) + 5 * sim.overlap(mine, name) + 4 * sim.jaccard(text.tokens("s1_addr"), addr, 0.0) + 4 * sim.overlap(*numbers)
+    pairs = ranked.join(_sides(blocking.queries_of(records), "s1", "s1"), "s1").join(_sides(blocking.candidates_of(records), "c", "cand"), "cand")
+    for name, a, b in (("_n", "s1_all", "c_tok_name"), ("_a", "s1_tok_addr", "c_tok_addr"), ("_d", "s1_num", "c_num")):
+        pairs = pairs.withColumn(name, sim.shared(a, b))
+    exact = lambda f: sim.flag((F.col(f"s1_{f}") == F.col(f"c_{f}")) & (F.col(f"s1_{f}") != ""))
+    either = lambda n, a, b: F.size(a) + F.size(b) - F.col(n)
+    least = lambda a, b: F.least(F.size(a), F.size(b))
+    stage2 = (
+        F.col("stage1") + 25 * exact("name") + 15 * exact("addr")
+        + 8 * sim.share(F.col("_n"), either("_n", "s1_all", "c_tok_name")) + 5 * sim.share(F.col("_n"), least("s1_all", "c_tok_name"))
+        + 4 * sim.share(F.col("_a"), either("_a", "s1_tok_addr", "c_tok_addr")) + 4 * sim.share(F.col("_d"), least("s1_num", "c_num"))
+    )
     return pairs.select("s1", "cand", "cand_source", "stage1", stage2.alias("stage2"))
 
 
