@@ -30,6 +30,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Counters of each task's frequency summary, and most of the frequent shingles put last: a bound on what is broadcast (16 bytes each).
 COUNTERS, FREQUENT, OFTEN = 1 << 16, 1 << 17, 3
+#: Nodes of a region that is not divided further: bounds what a task holds at once.
+LEAF = 256
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -106,46 +108,71 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, n_shingles long, node long")
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: int, percent: int) -> DataFrame:
-    """doc_id and block for the first shingles of each set, frequent ones last: as many as make
-    sure that two linked documents have one in common.  A block is ``bits`` bits of the shingle."""
+def first_shingles(members: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first shingles of a set, frequent ones last: as many as make sure that two linked
+    documents have one in common."""
     often, rank = frequent
+    if len(often) and len(members):
+        at = np.minimum(np.searchsorted(often, members), len(often) - 1)
+        late = often[at] == members
+        members = np.concatenate([members[~late], members[late][np.argsort(rank[at[late]])]])
+    return members[: len(members) - (percent * len(members) + 99) // 100 + 1]
+
+
+def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: int, percent: int) -> DataFrame:
+    """doc_id and block, ``bits`` bits of the shingle, for the first shingles of each set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                blocks = []
-                for text in part.column(1).to_pylist():
-                    members = shingle_set(text)
-                    first = len(members) - (percent * len(members) + 99) // 100 + 1 if len(members) else 0
-                    if len(often) and len(members):
-                        at = np.minimum(np.searchsorted(often, members), len(often) - 1)
-                        late = often[at] == members
-                        members = np.concatenate([members[~late], members[late][np.argsort(rank[at[late]])]])
-                    blocks.append(np.unique(members[:first] >> np.uint64(64 - bits)).view(np.int64))
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                blocks = [np.unique(first_shingles(m, frequent, percent) >> np.uint64(64 - bits)).view(np.int64) if len(m) else m.view(np.int64) for m in sets]
                 at = np.repeat(np.arange(part.num_rows), [len(b) for b in blocks])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)), part.column(0).take(pa.array(at))], names=["block", "doc_id"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "block long, doc_id long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its normal text, compressed, for the nodes in ``wanted`` (node, doc_id)."""
+def texts_of(docs: DataFrame, wanted: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """node, n (shingles), sketch (16 bits of each of the first shingles) and body (the normal
+    text, compressed) for the nodes in ``wanted`` (node, doc_id)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor()
         for batch in batches:
-            out: list[list] = [[], []]
+            out: list[list] = [[], [], [], []]
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = normal(text.as_py())
-                if node_of(np.unique(shingles(body.split()))) == node:  # a repeated doc_id may have another text too
-                    out[0].append(node)
-                    out[1].append(press.compress(body))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["node", "body"])
+                members = np.unique(shingles(body.split()))
+                if node_of(members) == node:  # a repeated doc_id may have another text too
+                    sketch = (first_shingles(members, frequent, percent) & np.uint64(0xFFFF)).astype(np.uint16)
+                    for column, x in zip(out, (node, len(members), sketch.tobytes(), press.compress(body))):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "sketch", "body"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    return docs.join(wanted, docs["_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(emit, "node long, body binary").dropDuplicates(["node"])
+    return docs.join(wanted, docs["_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(emit, "node long, n long, sketch binary, body binary").dropDuplicates(["node"])
+
+
+def possible(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link.  Of two sets the one whose first shingles end first, x, has
+    in common with the other at most the first shingles that both have and what follows its own:
+    a bound that holds whichever of the two it is, and that equal sketch codes can only raise."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                both = min(int(np.isin(x, y, kind="table").sum()), len(x), len(y)) if len(x) and len(y) else 0
+                most = min(n, m, both + max(n - len(x), m - len(y)))
+                keep.append(100 * most >= percent * (n + m - most))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(chosen) for k in (0, 1)], names=["a", "b"])
+
+    sides = [bodies.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(sift, "a long, b long")
 
 
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -179,6 +206,52 @@ def distinct_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.join(kept, "block", "left_semi").select("block", "node")
 
 
+def leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that may link within blocks of at most LEAF nodes
+    (``members``: block, node, comp, n, sketch); the bound is that of ``possible``."""
+
+    def of_block(nodes: list[int], comps: list[int], n: list[int], sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+        if len(set(comps)) < 2:
+            return
+        codes = [np.frombuffer(x, np.uint16) for x in sketches]
+        firsts = np.array([len(c) for c in codes])
+        unique, at = np.unique(np.concatenate(codes), return_inverse=True)
+        counts = np.zeros((len(nodes), len(unique)), np.float32)
+        np.add.at(counts, (np.repeat(np.arange(len(nodes)), firsts), at), 1)
+        counts = counts[:, (counts > 0).sum(axis=0) > 1]
+        both = counts @ (counts > 0).astype(np.float32).T
+        both = np.minimum(both, both.T)
+        size, comp = np.array(n), np.array(comps)
+        rest = size - firsts
+        most = np.minimum(np.minimum.outer(size, size), both + np.maximum.outer(rest, rest))
+        may = (100 * most >= percent * (np.add.outer(size, size) - most)) & np.not_equal.outer(comp, comp)
+        for i, j in zip(*np.nonzero(np.triu(may, 1))):
+            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], set()
+
+        def close():
+            if held:
+                found.update(of_block(*map(list, zip(*held))))
+
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["a", "b"])
+        for batch in batches:
+            for block, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if block != now:
+                    close()
+                    now, held = block, []
+                held.append(row)
+            if len(found) > 50_000:
+                yield pack()
+                found.clear()
+        close()
+        yield pack()
+
+    dealt = members.repartition("block").sortWithinPartitions("block")
+    return dealt.select("block", "node", "comp", "n", "sketch").mapInArrow(sift, "a long, b long")
+
+
 def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node and comp of the nodes that link within ``blocks`` (block, node); None if none does.
 
@@ -186,15 +259,18 @@ def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) ->
     distances of its nodes to them, components so far, and the regions that are left: a node y of
     the region of q could link into the region of p only if d(y, p) <= d(y, q) + 2 r, and two
     nodes whose distances to p differ by more than r cannot link (r is the largest distance of a
-    link).  A pivot has met its whole block and leaves it, so the rounds end."""
+    link).  A pivot has met its whole block and leaves it, so the rounds end.  Regions of at most
+    LEAF nodes are leaves: their pairs of different components are sifted in one go."""
     radius, level, comps, known = (100 - percent) / 100, 0, None, None
-    open_blocks = blocks
-    while not open_blocks.isEmpty():
+    open_blocks, leaves = blocks, None
+    while not open_blocks.isEmpty() or leaves is not None:
         pivots = open_blocks.groupBy("block", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << level)).alias("_part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("pivot"))
         pivots = common.cut(pivots.select("block", "pivot"), "pivots")
         met = open_blocks.join(pivots, "block").where("node <> pivot").select("block", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         met = common.cut(met, "met")
-        pairs = met.select("a", "b").distinct()
+        pairs = possible(met.select("a", "b").distinct(), bodies, percent)
+        if leaves is not None:
+            pairs = pairs.unionByName(leaf_pairs(leaves, percent)).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         fresh = common.cut(verify(pairs, bodies), "distances")
@@ -203,14 +279,18 @@ def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) ->
         if not fresh.where(linked).isEmpty():
             comps = components(known.where(linked))
         away = met.join(pivots.select("block", F.col("pivot").alias("node")), ["block", "node"], "left_anti")
-        away = away.join(known, ["a", "b"]).select("block", "node", "pivot", (1 - F.col("common") / F.col("union")).alias("d"))
-        own = away.groupBy("block", "node").agg(F.min("d").alias("nearest"))
-        regions = away.join(own, ["block", "node"]).where(F.col("d") <= F.col("nearest") + 2 * radius + 1e-9)
-        halves = F.array_compact(F.array(F.when(F.col("d") <= 2 * radius + 1e-9, F.lit(0)), F.when(F.col("d") > radius - 1e-9, F.lit(1))))
+        away = away.join(known, ["a", "b"], "left").select("block", "node", "pivot", (1 - F.col("common") / F.col("union")).alias("d"))
+        own = away.groupBy("block", "node").agg(F.coalesce(F.min("d"), F.lit(1.0)).alias("nearest"))
+        # the distance of a pair that cannot link isn't measured: such a node goes wherever it may belong
+        regions = away.join(own, ["block", "node"]).where(F.col("d").isNull() | (F.col("d") <= F.col("nearest") + 2 * radius + 1e-9))
+        halves = F.array_compact(F.array(F.when(F.col("d").isNull() | (F.col("d") <= 2 * radius + 1e-9), F.lit(0)), F.when(F.col("d").isNull() | (F.col("d") > radius - 1e-9), F.lit(1))))
         regions = regions.select("block", "pivot", "node", F.explode(halves).alias("half")).select(F.xxhash64("block", "pivot", "half").alias("block"), "node").distinct()
-        if comps is not None:
-            regions = regions.join(comps, "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp"))
-        open_blocks = common.cut(distinct_blocks(regions), "regions")
+        with_comp = lambda df: df.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else df.withColumn("comp", F.col("node"))
+        left = common.cut(distinct_blocks(with_comp(regions)), "regions")
+        sized = left.groupBy("block").agg(F.count("*").alias("_n"))
+        open_blocks = left.join(sized.where(F.col("_n") > LEAF), "block", "left_semi")
+        leaves = left.join(sized.where(F.col("_n") <= LEAF), "block", "left_semi")
+        leaves = None if leaves.isEmpty() else with_comp(leaves).join(bodies.select("node", "n", "sketch"), "node")
         level += 1
     return comps
 
@@ -224,7 +304,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = common.cut(nodes_of(docs), "nodes")
     total = nodes.agg(F.sum(F.ceil(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 1
     bits = min(62, max(16, int(total).bit_length() + 7))
-    dealt = postings(docs, frequent_shingles(docs), bits, percent)
+    frequent = frequent_shingles(docs)
+    dealt = postings(docs, frequent, bits, percent)
     several = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
     met = dealt.join(several, "block", "left_semi")
     ids = nodes.where("node IS NOT NULL").select(F.col("doc_id").alias("_id"), "node", "n_shingles").distinct()
@@ -235,7 +316,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = common.cut(blocks.select(F.xxhash64("block", "_class").alias("block"), "node").distinct(), "postings")
     blocks = common.cut(distinct_blocks(blocks), "blocks")
     classes = common.cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    bodies = common.cut(texts_of(docs, classes.join(blocks.select("node").distinct(), "node", "left_semi")), "bodies")
+    bodies = common.cut(texts_of(docs, classes.join(blocks.select("node").distinct(), "node", "left_semi"), frequent, percent), "bodies")
     comps = join_blocks(blocks, bodies, percent)
     if comps is not None:
         labels = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
