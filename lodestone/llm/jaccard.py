@@ -30,8 +30,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Counters of each task's frequency summary, and most of the frequent shingles put last: a bound on what is broadcast (16 bytes each).
 COUNTERS, FREQUENT, OFTEN = 1 << 16, 1 << 17, 3
-#: Nodes of a region that is not divided further: bounds what a task holds at once.
-LEAF = 256
+#: Nodes of a region that is not divided further, which bounds what a task holds at once, and rounds of pivots before larger regions are cut into squares.
+LEAF, ROUNDS = 256, 2
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -252,6 +252,15 @@ def leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select("block", "node", "comp", "n", "sketch").mapInArrow(sift, "a long, b long")
 
 
+def squares(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members`` (block, node) of blocks too large for a leaf, dealt into as many parts as make
+    two of them a leaf: a block for each two parts, in which all their nodes meet."""
+    parts = F.ceil(F.col("_n") * 2 / LEAF).cast("long")
+    own = members.join(sizes, "block").withColumn("_g", parts).withColumn("_h", F.pmod(F.xxhash64("node"), F.col("_g")))
+    met = own.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).where("_g = 1 OR _h <> _k")
+    return met.select(F.xxhash64("block", F.least("_h", "_k"), F.greatest("_h", "_k"), F.lit("square")).alias("block"), "node")
+
+
 def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node and comp of the nodes that link within ``blocks`` (block, node); None if none does.
 
@@ -259,8 +268,9 @@ def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) ->
     distances of its nodes to them, components so far, and the regions that are left: a node y of
     the region of q could link into the region of p only if d(y, p) <= d(y, q) + 2 r, and two
     nodes whose distances to p differ by more than r cannot link (r is the largest distance of a
-    link).  A pivot has met its whole block and leaves it, so the rounds end.  Regions of at most
-    LEAF nodes are leaves: their pairs of different components are sifted in one go."""
+    link).  A pivot has met its whole block and leaves it.  Regions of at most LEAF nodes are
+    leaves: their pairs of different components are sifted in one go.  What ROUNDS rounds of
+    pivots have not divided so far lies too far apart for them, and is cut into squares."""
     radius, level, comps, known = (100 - percent) / 100, 0, None, None
     open_blocks, leaves = blocks, None
     while not open_blocks.isEmpty() or leaves is not None:
@@ -288,8 +298,11 @@ def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) ->
         with_comp = lambda df: df.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else df.withColumn("comp", F.col("node"))
         left = common.cut(distinct_blocks(with_comp(regions)), "regions")
         sized = left.groupBy("block").agg(F.count("*").alias("_n"))
-        open_blocks = left.join(sized.where(F.col("_n") > LEAF), "block", "left_semi")
+        large = sized.where(F.col("_n") > LEAF)
+        open_blocks = left.join(large, "block", "left_semi")
         leaves = left.join(sized.where(F.col("_n") <= LEAF), "block", "left_semi")
+        if level + 1 >= ROUNDS:
+            leaves, open_blocks = leaves.unionByName(squares(left, large)), open_blocks.limit(0)
         leaves = None if leaves.isEmpty() else with_comp(leaves).join(bodies.select("node", "n", "sketch"), "node")
         level += 1
     return comps

@@ -37,9 +37,10 @@ def test_odd_rows(odd, empty):
     assert jaccard.cluster(odd).count() == odd.count() and jaccard.cluster(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_and_hot_passages(spark, seed):
+@pytest.mark.parametrize("seed, leaf", [(1, 256), (2, 4)])
+def test_chains_and_hot_passages(spark, monkeypatch, seed, leaf):
     """Drifting copies around the threshold, and documents that share a long passage but no more."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
     rng = random.Random(seed)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     rows, text = [], list(base)
