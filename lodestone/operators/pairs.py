@@ -26,7 +26,7 @@ def hard_negatives(truth: DataFrame, records: DataFrame, cap: int, k: int = 8, r
     queries = truth.select("s1").distinct()
     mine = blocking.within(blocking.rarest_tokens(records, cap, rarest, pooled=False), queries).withColumn("w", stats.inverse_weight())
     other = blocking._other(stats.postings(blocking.candidates_of(records))).withColumnRenamed("c_country", "country")
-    scored = mine.join(other, ["country", "token"]).groupBy("s1", "cand", "cand_source").agg(F.sum("w").alias("score"))
+    scored = mine.join(other, ["country", "token"]).groupBy("s1", "cand", "cand_source").agg(F.round(F.sum("w"), 9).alias("score"))  # sums in another order still tie
     best = blocking.top_k(blocking.without(scored, truth), k, "score", "s1")
     return best.select("s1", "cand", "cand_source", F.lit(0).alias("label"))
 

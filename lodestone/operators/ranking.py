@@ -20,7 +20,7 @@ def first_stage(records: DataFrame, cap: int) -> DataFrame:
         other = records.select(F.col("entity_id").alias("cand"), F.col("country").alias("c_country"))
         met = met.join(mine, "s1").join(other, "cand").where("country = c_country")
         scored = scored.unionByName(met.select("s1", "cand", "cand_source", F.lit(points).alias("points")))
-    return scored.groupBy("s1", "cand", "cand_source").agg(F.sum("points").alias("stage1"))
+    return scored.groupBy("s1", "cand", "cand_source").agg(F.round(F.sum("points"), 9).alias("stage1"))
 
 
 def _sides(records: DataFrame, side: str, key: str) -> DataFrame:
@@ -46,7 +46,7 @@ def second_stage(ranked: DataFrame, records: DataFrame) -> DataFrame:
         + 8 * sim.share(F.col("_n"), either("_n", "s1_all", "c_tok_name")) + 5 * sim.share(F.col("_n"), least("s1_all", "c_tok_name"))
         + 4 * sim.share(F.col("_a"), either("_a", "s1_tok_addr", "c_tok_addr")) + 4 * sim.share(F.col("_d"), least("s1_num", "c_num"))
     )
-    return pairs.select("s1", "cand", "cand_source", "stage1", stage2.alias("stage2"))
+    return pairs.select("s1", "cand", "cand_source", "stage1", F.round(stage2, 9).alias("stage2"))
 
 
 def rank(records: DataFrame, cap: int, keep: int = 300) -> DataFrame:

@@ -304,7 +304,7 @@ on_records("a13_blocking_recall", """, f AS (SELECT count(*) AS n_true, count(*)
 SELECT n_true, n_found, n_pairs, n_entities, coalesce(n_found::DOUBLE / nullif(n_true, 0), 0) AS recall, n_pairs::DOUBLE / n_entities AS mean_candidates FROM f, (SELECT count(*) AS n_pairs FROM pair), (SELECT count(*) AS n_entities FROM ent)""")(lambda r: metrics.blocking_recall(fixture.pairs(r), fixture.truth(r), fixture.entities(r)))
 on_records("a14_candidate_counts", "SELECT avg(n) AS mean_candidates, median(n) AS median_candidates, max(n) AS max_candidates FROM (SELECT s1, count(cand) AS n FROM ent LEFT JOIN pair USING (s1) GROUP BY s1)")(lambda r: metrics.candidate_counts(fixture.pairs(r), fixture.entities(r)))
 
-STAGE1 = f"""SELECT s1, cand, cand_source, sum(points) AS stage1 FROM (SELECT s1, cand, cand_source, score AS points FROM ({J3})
+STAGE1 = f"""SELECT s1, cand, cand_source, round(sum(points), 9) AS stage1 FROM (SELECT s1, cand, cand_source, score AS points FROM ({J3})
 UNION ALL SELECT s1, cand, e.cand_source, 30 FROM exname e JOIN rec a ON a.entity_id = s1 JOIN rec b ON b.entity_id = cand AND a.country = b.country
 UNION ALL SELECT s1, cand, e.cand_source, 20 FROM exaddr e JOIN rec a ON a.entity_id = s1 JOIN rec b ON b.entity_id = cand AND a.country = b.country) GROUP BY ALL"""
 on_records("w3_first_stage", f"SELECT s1, cand, cand_source, round(stage1, 6) AS stage1 FROM ({STAGE1})")(lambda r: rounded(ranking.first_stage(r, CAP), "stage1"))
@@ -313,9 +313,9 @@ RANKED = f""", st1 AS MATERIALIZED ({STAGE1}), kept AS (SELECT * FROM st1 QUALIF
 rtok AS MATERIALIZED (SELECT entity_id, name, addr, list_distinct(list_filter(string_split(name, ' ') || string_split(addr, ' '), lambda x: length(x) >= 2)) AS t,
   list_distinct(list_filter(string_split(name, ' '), lambda x: length(x) >= 2)) AS n, list_distinct(list_filter(string_split(addr, ' '), lambda x: length(x) >= 2)) AS u, list_distinct(regexp_extract_all(whole, '[0-9]+')) AS x FROM rec),
 rt AS (SELECT k.*, a.name AS an, a.addr AS aa, b.name AS bn, b.addr AS ba, a.t AS ta, b.n AS tb, a.u AS ua, b.u AS ub, a.x AS xa, b.x AS xb FROM kept k JOIN rtok a ON a.entity_id = s1 JOIN rtok b ON b.entity_id = cand),
-st2 AS (SELECT s1, cand, cand_source, stage1, stage1 + 25 * (an = bn AND an <> '')::INT + 15 * (aa = ba AND aa <> '')::INT
+st2 AS (SELECT s1, cand, cand_source, stage1, round(stage1 + 25 * (an = bn AND an <> '')::INT + 15 * (aa = ba AND aa <> '')::INT
   + 8 * coalesce(len(list_intersect(ta, tb))::DOUBLE / nullif((len(ta) + len(tb) - len(list_intersect(ta, tb))), 0), 0) + 5 * coalesce(len(list_intersect(ta, tb))::DOUBLE / nullif(least(len(ta), len(tb)), 0), 0)
-  + 4 * coalesce(len(list_intersect(ua, ub))::DOUBLE / nullif((len(ua) + len(ub) - len(list_intersect(ua, ub))), 0), 0) + 4 * coalesce(len(list_intersect(xa, xb))::DOUBLE / nullif(least(len(xa), len(xb)), 0), 0) AS stage2 FROM rt)"""
+  + 4 * coalesce(len(list_intersect(ua, ub))::DOUBLE / nullif((len(ua) + len(ub) - len(list_intersect(ua, ub))), 0), 0) + 4 * coalesce(len(list_intersect(xa, xb))::DOUBLE / nullif(least(len(xa), len(xb)), 0), 0), 9) AS stage2 FROM rt)"""
 on_records("w4_two_stage_ranking", RANKED + "SELECT s1, cand, cand_source, round(stage1, 4) AS stage1, round(stage2, 4) AS stage2 FROM st2")(lambda r: ranking.rank(r, CAP).select("s1", "cand", "cand_source", F.round("stage1", 4).alias("stage1"), F.round("stage2", 4).alias("stage2")))
 on_records("a15_recall_at_k", RANKED + """, pl AS (SELECT s1, cand, row_number() OVER (PARTITION BY s1 ORDER BY stage2 DESC, cand) AS place FROM st2),
 j AS (SELECT place FROM truth LEFT JOIN pl USING (s1, cand)) SELECT k, (SELECT count(*) FROM j WHERE place <= k) AS found, (SELECT count(*) FROM j) AS total, coalesce((SELECT count(*) FROM j WHERE place <= k)::DOUBLE / nullif((SELECT count(*) FROM j), 0), 0) AS recall FROM (VALUES (25), (50), (100), (200), (500)) v(k)""")(lambda r: ranking.recall_at(ranking.rank(r, CAP), fixture.truth(r)))
