@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is its words.  A line of ``MIN_WORDS`` words or more goes if an earlier line (by doc_id,
-then place) has the same words or, where both have ``NEAR_WORDS`` words or more, lies within one
+A line is its words.  A line of ``MIN_WORDS`` words or more, that is any with a word, goes if an
+earlier line (by doc_id, then place) has the same words or, where both have ``NEAR_WORDS`` words or more, lies within one
 word inserted, deleted or replaced; what is earlier is judged on the input.  Copies fold into one
 distinct line first.  Of the distinct lines only suspects go on: lines within one edit agree in
 their first or their second half, so lines that share neither half with another are done.  For
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 10
 
 
 def _key(words: list[bytes]) -> bytes:
@@ -177,7 +177,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     """The columns of ``docs``, text without the lines that go, and n_lines, n_exact, n_near (lines
     before, and gone by either kind; columns of these names are replaced).
 
-    Null text stays null with no line; empty and short lines stay; rows that repeat a doc_id with
+    Null text stays null with no line; lines without a word stay; rows that repeat a doc_id with
     the same text count as one document; an empty table stays empty."""
     gone = drops(docs, min_words, near_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "key", "near")).alias("_gone"))
     docs = docs.drop("n_lines", "n_exact", "n_near", "_gone")

@@ -58,6 +58,11 @@ def test_edits_of_every_kind(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_short_lines_go_as_exact_copies(spark):
+    rows = [(1, "All rights reserved.\n\none\n \none two three four"), (2, "All rights  reserved.\n\none\n \none two three five"), (3, "one two three four\nAll rights reserved")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == {1: (0, 0, rows[0][1]), 2: (2, 0, "\n \none two three five"), 3: (1, 0, "All rights reserved")}
+
+
 def test_odd_rows(odd, empty):
     known = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     assert result(known) == brute([(r["doc_id"], r["text"]) for r in known.collect()])
