@@ -372,22 +372,21 @@ on_records("t3_hard_negatives", NEGATIVES)(lambda r: pairs.hard_negatives(fixtur
 
 def _training(r: DataFrame) -> DataFrame:
     labelled = pairs.split(pairs.training_pairs(fixture.truth(r), r, CAP))
-    made = features.token_features(blocking.with_text(labelled, r))
-    return made.select("s1", "cand", "cand_source", "label", "is_train", *TOKEN_NAMES)
+    return features.features(blocking.with_text(labelled, r), ["s1", "cand", "cand_source", "label", "is_train"], r)
 
 
 @on_records("m1_logistic_regression")
 def _(r):
     data = _training(r)
-    fitted = model.fit_logistic(data.where("is_train"), TOKEN_NAMES, max_iter=100)
-    return model.score(fitted, data, TOKEN_NAMES).select("s1", "cand", "label", "probability", "predicted")
+    fitted = model.fit_logistic(data.where("is_train"), features.NAMES)
+    return model.score(fitted, data).select("s1", "cand", "label", "probability", "predicted")
 
 
 @on_records("m3_boosted_trees")
 def _(r):
     data = _training(r)
-    fitted = model.fit_trees(data.where("is_train"), TOKEN_NAMES, trees=5, depth=3)
-    return model.score(fitted, data, TOKEN_NAMES).select("s1", "cand", "label", "probability", "predicted")
+    fitted = model.fit_trees(data.where("is_train"))
+    return model.score(fitted, data).select("s1", "cand", "label", "probability", "predicted")
 
 
 @query("k_validate_lists", "SELECT 'K6_missing' AS rule, 'error' AS severity, s1 AS item FROM ent WHERE s1 NOT IN (SELECT s1 FROM pair)")
