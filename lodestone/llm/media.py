@@ -2,9 +2,11 @@
 
 ``store`` carries any bytes losslessly as the ancillary data of silent MPEG-1 Layer III frames:
 an ID3v2 tag, a variable-bitrate table in the first frame, then 320 kbit/s frames and a last one
-just large enough.  ``parse`` reads any MPEG audio stream: it resynchronises on frame headers,
+just large enough.  ``parse`` walks any MPEG audio stream: it resynchronises on frame headers,
 parses tags and the variable-bitrate table, verifies frame checksums, and yields the exact
-duration and the seek offset of every frame.
+duration and the seek offset of every frame.  It does not read other frames of ID3v2 than TXXX,
+sizes over 127 of ID3v2.3 (all are taken for syncsafe), ID3v1 (skipped), VBRI tables (taken for a
+frame of sound), or checksums of Layers I and II.
 """
 
 from __future__ import annotations
