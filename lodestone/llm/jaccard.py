@@ -2,15 +2,19 @@
 
 A document is the set of its 5-word shingles; documents link at a Jaccard similarity of
 ``PERCENT`` / 100 or more, and the result is the connected component of each.  Jaccard distance is
-a metric, so the join runs by pivots: documents that could link meet in blocks, each block gets
-pivots, distances to the pivots are exact, every document goes to the Voronoi region of its
-nearest pivot, and by the triangle inequality also to each region it could link into.  Regions
-are joined recursively, with twice the pivots each time, until no region holds two components.
+a metric, so the join runs by pivots: documents that could link meet in regions, each region gets
+pivots, the distances of its documents to them are exact wherever a link is possible, every
+document goes to the Voronoi region of its nearest pivot, and by the triangle inequality also to
+each region that it could link into.  Regions are joined recursively, with twice the pivots each
+time, until none holds two components.
 
 Documents far apart share no pivot, so the first division is by shingles: linked documents share
 one of the first shingles of their sets in any common order.  The order puts the most frequent
-shingles last, which keeps common passages from making blocks.  Equal sets are one node
-throughout, so copies cost nothing and no group is expanded into pairs.
+shingles last, which keeps common passages from making regions.  Where pivots link nothing, a
+region is divided the same way by a second and a third shingle.  Equal sets are one node
+throughout, pivots are taken outside a region's largest component and meet other components only,
+and regions with the same largest component become one, so a large group of copies or near copies
+costs a few rows a document and is never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -30,14 +34,19 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Counters of each task's frequency summary, and most of the frequent shingles put last: a bound on what is broadcast (16 bytes each).
 COUNTERS, FREQUENT, OFTEN = 1 << 16, 1 << 17, 3
-#: Nodes of a region that is not divided further, which bounds what a task holds at once, and rounds of pivots before larger regions are cut into squares.
-LEAF, ROUNDS = 256, 2
+#: Shingles by which a region may be divided: two different sets that link have at least three in common.
+DEPTH = 3
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def normal(text: str | None) -> bytes:
     """The words of a text, A-Z in lower case, with one space between them."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    return b" ".join(words_of(text))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,8 +69,14 @@ def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
     return mix(total)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; a sort is several times faster here than numpy's hash table."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingles(normal(text).split()))
+    return distinct(shingles(words_of(text)))
 
 
 def node_of(members: np.ndarray) -> int:
@@ -69,73 +84,76 @@ def node_of(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Up to FREQUENT shingles that most documents have, over all documents, in order of number,
-    and the rank of each from the rarest: each task keeps a Misra-Gries summary of COUNTERS
-    counters, and the summaries add up.  They only set the order of shingles, which may be any;
-    results don't depend on them."""
+def survey(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: doc_id, n_shingles and node (null without words) of every row, and
+    (kind 1) the shingles that many documents have: each task keeps a Misra-Gries summary of
+    COUNTERS counters and adds it at its end."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "doc_id", "n_shingles", "node"]
         kept, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
-                sets = [shingle_set(t) for t in batch.column(0).slice(a, 1000).to_pylist()]
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                several = n > 1
-                merged, at = np.unique(np.concatenate([kept, found[several], found[~several & np.isin(found, kept)]]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n[several], n[~several & np.isin(found, kept)]]), len(merged)).astype(np.int64)
+                part = batch.slice(a, 1000)
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                rows = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), *rows], names=names)
+                found = np.sort(np.concatenate(sets)) if sets else kept
+                starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+                found, n = found[starts], np.diff(np.append(starts, len(found)))
+                known = (n > 1) | np.isin(found, kept, assume_unique=True)
+                merged, at = np.unique(np.concatenate([kept, found[known]]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, n[known]]), len(merged)).astype(np.int64)
                 if len(merged) > COUNTERS:
                     counts -= np.partition(counts, -COUNTERS - 1)[-COUNTERS - 1]
                     merged, counts = merged[counts > 0], counts[counts > 0]
                 kept = merged
-        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kept), np.int32)), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.array(kept.view(np.int64))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, "kind int, doc_id long, n_shingles long, node long")
 
-    found = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+
+def frequent_shingles(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Up to FREQUENT shingles that most documents have, over all documents, in order of number,
+    and the rank of each from the rarest.  They only set the order of shingles, which may be any;
+    results don't depend on them."""
+    found = surveyed.where("kind = 1").groupBy(F.col("node").alias("shingle")).agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= OFTEN)
     top = found.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect()
     by_number = np.array([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64)
     rank = np.argsort(by_number)
     return by_number[rank], rank
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and node (null without words)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, n_shingles long, node long")
-
-
-def first_shingles(members: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+def first_shingles(members: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, more: int = 1) -> np.ndarray:
     """The first shingles of a set, frequent ones last: as many as make sure that two linked
-    documents have one in common."""
+    documents have ``more`` in common."""
     often, rank = frequent
     if len(often) and len(members):
         at = np.minimum(np.searchsorted(often, members), len(often) - 1)
         late = often[at] == members
         members = np.concatenate([members[~late], members[late][np.argsort(rank[at[late]])]])
-    return members[: len(members) - (percent * len(members) + 99) // 100 + 1]
+    return members[: len(members) - (percent * len(members) + 99) // 100 + more]
 
 
 def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: int, percent: int) -> DataFrame:
-    """doc_id and block, ``bits`` bits of the shingle, for the first shingles of each set."""
+    """block (``bits`` bits of the shingle), node and n (shingles) for the first shingles of each
+    set; of equal sets in a batch, once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
-                blocks = [np.unique(first_shingles(m, frequent, percent) >> np.uint64(64 - bits)).view(np.int64) if len(m) else m.view(np.int64) for m in sets]
-                at = np.repeat(np.arange(part.num_rows), [len(b) for b in blocks])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)), part.column(0).take(pa.array(at))], names=["block", "doc_id"])
+                sets = [shingle_set(t) for t in batch.column(0).slice(a, 1000).to_pylist()]
+                sets = [*{node_of(m): m for m in sets if len(m)}.items()]
+                blocks = [distinct(first_shingles(m, frequent, percent) >> np.uint64(64 - bits)).view(np.int64) for _, m in sets]
+                sizes = [len(b) for b in blocks]
+                node, n = (np.repeat(np.array(x, np.int64), sizes) for x in ([k for k, _ in sets], [len(m) for _, m in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks) if blocks else np.zeros(0, np.int64)), pa.array(node), pa.array(n)], names=["block", "node", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "block long, doc_id long")
+    return docs.select("text").mapInArrow(emit, "block long, node long, n long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """node, n (shingles), sketch (16 bits of each of the first shingles) and body (the normal
+    """node, n (shingles), sketch (16 bits of each of the first shingles, enough for DEPTH in common) and body (the normal
     text, compressed) for the nodes in ``wanted`` (node, doc_id)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +162,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame, frequent: tuple[np.ndarray, np.
             out: list[list] = [[], [], [], []]
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = normal(text.as_py())
-                members = np.unique(shingles(body.split()))
+                members = distinct(shingles(body.split()))
                 if node_of(members) == node:  # a repeated doc_id may have another text too
-                    sketch = (first_shingles(members, frequent, percent) & np.uint64(0xFFFF)).astype(np.uint16)
+                    sketch = (first_shingles(members, frequent, percent, DEPTH) >> np.uint64(48)).astype(np.uint16)
                     for column, x in zip(out, (node, len(members), sketch.tobytes(), press.compress(body))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "sketch", "body"])
@@ -180,7 +198,7 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, last, held = zstandard.ZstdDecompressor(), None, None
-        members = lambda body: np.unique(shingles(press.decompress(body).split()))
+        members = lambda body: distinct(shingles(press.decompress(body).split()))
         for batch in batches:
             found = []
             for k, b in enumerate(batch.column(1).to_pylist()):
@@ -196,116 +214,118 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "body_a", "body_b").mapInArrow(sizes, "a long, b long, common long, union long")
 
 
-def distinct_blocks(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (block, node, and maybe comp) without those of one node or one component, and
-    with one each of those that hold the same nodes."""
+def distinct_regions(regions: DataFrame) -> DataFrame:
+    """``regions`` (region, codes, node) without those of one node, and with one each of those that
+    hold the same nodes."""
     parts = [F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"), F.count("*").alias("_n")]
-    key = "comp" if "comp" in blocks.columns else "node"
-    per = blocks.groupBy("block").agg(*parts, F.min(key).alias("_low"), F.max(key).alias("_high")).where("_low <> _high")
-    kept = per.groupBy("_x", "_y", "_n").agg(F.min("block").alias("block")).select("block")
-    return blocks.join(kept, "block", "left_semi").select("block", "node")
-
-
-def leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of different components that may link within blocks of at most LEAF nodes
-    (``members``: block, node, comp, n, sketch); the bound is that of ``possible``."""
-
-    def of_block(nodes: list[int], comps: list[int], n: list[int], sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-        if len(set(comps)) < 2:
-            return
-        codes = [np.frombuffer(x, np.uint16) for x in sketches]
-        firsts = np.array([len(c) for c in codes])
-        unique, at = np.unique(np.concatenate(codes), return_inverse=True)
-        counts = np.zeros((len(nodes), len(unique)), np.float32)
-        np.add.at(counts, (np.repeat(np.arange(len(nodes)), firsts), at), 1)
-        counts = counts[:, (counts > 0).sum(axis=0) > 1]
-        both = counts @ (counts > 0).astype(np.float32).T
-        both = np.minimum(both, both.T)
-        size, comp = np.array(n), np.array(comps)
-        rest = size - firsts
-        most = np.minimum(np.minimum.outer(size, size), both + np.maximum.outer(rest, rest))
-        may = (100 * most >= percent * (np.add.outer(size, size) - most)) & np.not_equal.outer(comp, comp)
-        for i, j in zip(*np.nonzero(np.triu(may, 1))):
-            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, found = None, [], set()
-
-        def close():
-            if held:
-                found.update(of_block(*map(list, zip(*held))))
+    per = regions.groupBy("region").agg(*parts).where("_n > 1")
+    kept = per.groupBy("_x", "_y", "_n").agg(F.min("region").alias("region")).select("region")
+    return regions.join(kept, "region", "left_semi")
+
+
+def unsettled(regions: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``regions`` with each node's comp and the region's main (largest) component, without those of
+    one component.  Regions with the same main component become one, without codes, where that is
+    less work: nodes outside it, times nodes."""
+    if comps is None:
+        return regions.withColumns({"comp": F.col("node"), "main": F.lit(None).cast("long")})
+    known = regions.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = known.groupBy("region", "comp").agg(F.count("*").alias("_c")).groupBy("region").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.sum("_c").alias("_n"), F.count("*").alias("_k"))
+    per = per.where("_k > 1").select("region", F.col("_top.comp").alias("main"), ((F.col("_n") - F.col("_top._c")) * F.col("_n")).alias("_work"), F.col("_top._c").alias("_c"))
+    known = common.cut(known.join(per, "region"), "known-regions")
+    members = known.where("_c > 1").groupBy("main", "node").agg(F.first("comp").alias("comp"))
+    merged = members.groupBy("main").agg((F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)) * F.count("*")).alias("_after"))
+    before = known.where("_c > 1").groupBy("region", "main").agg(F.first("_work").alias("_work")).groupBy("main").agg(F.sum("_work").alias("_before"), F.count("*").alias("_r"))
+    joint = merged.join(before, "main").where("_r > 1 AND _after < _before").select(F.col("main").alias("_joint"))
+    own = known.join(joint, (F.col("main") == F.col("_joint")) & (F.col("_c") > 1), "left")
+    own = own.select(F.when(F.col("_joint").isNull(), F.col("region")).otherwise(F.xxhash64(F.lit("joint"), "main")).alias("region"), F.when(F.col("_joint").isNull(), F.col("codes")).otherwise(F.array().cast("array<int>")).alias("codes"), "node", "comp", "main")
+    return own.distinct()
+
+
+def by_shingle(regions: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The parts of ``regions`` (region, codes, node) by one shingle more: a row for each code of a
+    node's first shingles besides the region's own."""
 
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["a", "b"])
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if block != now:
-                    close()
-                    now, held = block, []
-                held.append(row)
-            if len(found) > 50_000:
-                yield pack()
-                found.clear()
-        close()
-        yield pack()
-
-    dealt = members.repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "node", "comp", "n", "sketch").mapInArrow(sift, "a long, b long")
-
-
-def squares(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``members`` (block, node) of blocks too large for a leaf, dealt into as many parts as make
-    two of them a leaf: a block for each two parts, in which all their nodes meet."""
-    parts = F.ceil(F.col("_n") * 2 / LEAF).cast("long")
-    own = members.join(sizes, "block").withColumn("_g", parts).withColumn("_h", F.pmod(F.xxhash64("node"), F.col("_g")))
-    met = own.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).where("_g = 1 OR _h <> _k")
-    return met.select(F.xxhash64("block", F.least("_h", "_k"), F.greatest("_h", "_k"), F.lit("square")).alias("block"), "node")
-
-
-def join_blocks(blocks: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """node and comp of the nodes that link within ``blocks`` (block, node); None if none does.
-
-    Each round: pivots of every block (the smallest by hash in each of 1, 2, 4, ... parts), exact
-    distances of its nodes to them, components so far, and the regions that are left: a node y of
-    the region of q could link into the region of p only if d(y, p) <= d(y, q) + 2 r, and two
-    nodes whose distances to p differ by more than r cannot link (r is the largest distance of a
-    link).  A pivot has met its whole block and leaves it.  Regions of at most LEAF nodes are
-    leaves: their pairs of different components are sifted in one go.  What ROUNDS rounds of
-    pivots have not divided so far lies too far apart for them, and is cut into squares."""
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                parts = []
+                for own, sketch in zip(part.column(1).to_pylist(), part.column(3).to_pylist()):
+                    codes = np.sort(np.frombuffer(sketch, np.uint16).astype(np.int32))
+                    for code in own:  # one shingle each: another with the same code stays
+                        codes = np.delete(codes, np.searchsorted(codes, code)) if code in codes else codes
+                    parts.append(codes[np.append(True, codes[1:] != codes[:-1])[: len(codes)]])
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(p) for p in parts]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(3)), pa.array(np.concatenate(parts), pa.int32())], names=["region", "codes", "node", "code"])
+
+    made = regions.join(bodies.select("node", "sketch"), "node").select("region", "codes", "node", "sketch").mapInArrow(emit, "region long, codes array<int>, node long, code int")
+    return made.select(F.xxhash64("region", "code").alias("part"), F.concat("codes", F.array("code")).alias("codes"), "node", "region")
+
+
+def divided(regions: DataFrame, pivots: DataFrame, near: DataFrame, radius: float) -> DataFrame:
+    """``regions`` (region, codes, node) by Voronoi region, where that is less work.  ``near``:
+    region, node, pivot and d, the measured distances.  A node y of the region of q could link into
+    the region of p only if d(y, p) <= d(y, q) + 2 r, r the largest distance of a link; one whose
+    distance isn't measured stays in."""
+    nearest = near.groupBy("region", "node").agg(F.min("d").alias("nearest"))
+    beyond = near.join(nearest, ["region", "node"]).where(F.col("d") > F.col("nearest") + 2 * radius + 1e-9).select("region", "node", "pivot")
+    beyond = common.cut(beyond, "beyond")
+    if beyond.isEmpty():
+        return regions
+    some = beyond.select("region").distinct()
+    parts = regions.join(some, "region", "left_semi").join(pivots.select("region", "pivot"), "region").join(beyond, ["region", "node", "pivot"], "left_anti")
+    parts = parts.select(F.xxhash64("region", "pivot").alias("part"), "codes", "node", "region")
+    return chosen(regions, common.cut(parts, "voronoi"))
+
+
+def chosen(regions: DataFrame, parts: DataFrame) -> DataFrame:
+    """``regions`` with those replaced by their ``parts`` (part, codes, node, region) whose parts
+    are less work: the sum of the squares of their sizes is lower."""
+    whole = regions.groupBy("region").agg(F.count("*").alias("_n"))
+    split = parts.groupBy("region", "part").agg(F.count("*").alias("_m")).groupBy("region").agg(F.sum(F.col("_m") * F.when(F.col("_m") > 1, F.col("_m")).otherwise(0)).alias("_sum"))
+    better = whole.join(split, "region").where("_sum < _n * _n").select("region")
+    new = distinct_regions(parts.join(better, "region", "left_semi").select(F.col("part").alias("region"), "codes", "node"))
+    return common.cut(regions.join(better, "region", "left_anti").unionByName(new), "divided")
+
+
+def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """node and comp of the nodes that link within ``regions`` (region, codes, node); None if none does.
+
+    Each round: pivots of every region (the smallest by hash in each of 1, 2, 4, ... parts, outside
+    the main component), exact distances to them of the nodes of other components that may link
+    with them, components so far, and the regions that are left.  A pivot has met all that it could
+    link with in its region and leaves it, so the rounds end."""
     radius, level, comps, known = (100 - percent) / 100, 0, None, None
-    open_blocks, leaves = blocks, None
-    while not open_blocks.isEmpty() or leaves is not None:
-        pivots = open_blocks.groupBy("block", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << level)).alias("_part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("pivot"))
-        pivots = common.cut(pivots.select("block", "pivot"), "pivots")
-        met = open_blocks.join(pivots, "block").where("node <> pivot").select("block", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    while True:
+        regions = common.cut(unsettled(regions, comps), "regions")
+        if regions.isEmpty():
+            return comps
+        part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << level))
+        pivots = regions.where("main IS NULL OR comp <> main").groupBy("region", part.alias("_part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("_p"))
+        pivots = common.cut(pivots.select("region", F.col("_p.node").alias("pivot"), F.col("_p.comp").alias("_comp")), "pivots")
+        met = regions.join(pivots, "region").where("comp <> _comp").select("region", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         met = common.cut(met, "met")
-        pairs = possible(met.select("a", "b").distinct(), bodies, percent)
-        if leaves is not None:
-            pairs = pairs.unionByName(leaf_pairs(leaves, percent)).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = met.select("a", "b").distinct()
+        pairs = possible(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), bodies, percent)
         fresh = common.cut(verify(pairs, bodies), "distances")
         known = fresh if known is None else known.unionByName(fresh)
         linked = F.col("common") * 100 >= F.col("union") * percent
         if not fresh.where(linked).isEmpty():
             comps = components(known.where(linked))
-        away = met.join(pivots.select("block", F.col("pivot").alias("node")), ["block", "node"], "left_anti")
-        away = away.join(known, ["a", "b"], "left").select("block", "node", "pivot", (1 - F.col("common") / F.col("union")).alias("d"))
-        own = away.groupBy("block", "node").agg(F.coalesce(F.min("d"), F.lit(1.0)).alias("nearest"))
-        # the distance of a pair that cannot link isn't measured: such a node goes wherever it may belong
-        regions = away.join(own, ["block", "node"]).where(F.col("d").isNull() | (F.col("d") <= F.col("nearest") + 2 * radius + 1e-9))
-        halves = F.array_compact(F.array(F.when(F.col("d").isNull() | (F.col("d") <= 2 * radius + 1e-9), F.lit(0)), F.when(F.col("d").isNull() | (F.col("d") > radius - 1e-9), F.lit(1))))
-        regions = regions.select("block", "pivot", "node", F.explode(halves).alias("half")).select(F.xxhash64("block", "pivot", "half").alias("block"), "node").distinct()
-        with_comp = lambda df: df.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else df.withColumn("comp", F.col("node"))
-        left = common.cut(distinct_blocks(with_comp(regions)), "regions")
-        sized = left.groupBy("block").agg(F.count("*").alias("_n"))
-        large = sized.where(F.col("_n") > LEAF)
-        open_blocks = left.join(large, "block", "left_semi")
-        leaves = left.join(sized.where(F.col("_n") <= LEAF), "block", "left_semi")
-        if level + 1 >= ROUNDS:
-            leaves, open_blocks = leaves.unionByName(squares(left, large)), open_blocks.limit(0)
-        leaves = None if leaves.isEmpty() else with_comp(leaves).join(bodies.select("node", "n", "sketch"), "node")
-        level += 1
-    return comps
+        left = regions.select("region", "codes", "node").join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
+        left = common.cut(left, "left")
+        near = met.join(known, ["a", "b"]).select("region", "node", "pivot", (1 - F.col("common") / F.col("union")).alias("d"))
+        left = divided(left, pivots, near, radius)
+        # where no pivot linked anything, documents have little but the region's shingle in common
+        idle = met.join(known.where(linked), ["a", "b"]).select("region").distinct()
+        idle = left.where(F.size("codes").between(1, DEPTH - 1)).join(idle, "region", "left_anti")
+        wide = idle.join(bodies.select("node", "n"), "node").groupBy("region").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"))
+        wide = wide.where("_n * _n > _s").select("region")  # less is cheaper met by pivots
+        parts = common.cut(by_shingle(left.join(wide, "region", "left_semi"), bodies), "by-shingle")
+        if not parts.isEmpty():
+            left = chosen(left, parts)
+        regions, level = left, level + 1
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -314,23 +334,21 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null and empty texts, and texts of white space, have no shingles and link with nothing; texts
     of fewer than five words are one shingle; repeated rows fall together; an empty table stays
     empty."""
-    nodes = common.cut(nodes_of(docs), "nodes")
+    surveyed = common.cut(survey(docs), "nodes")
+    nodes = surveyed.where("kind = 0").select("doc_id", "n_shingles", "node")
     total = nodes.agg(F.sum(F.ceil(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 1
     bits = min(62, max(16, int(total).bit_length() + 7))
-    frequent = frequent_shingles(docs)
-    dealt = postings(docs, frequent, bits, percent)
-    several = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    met = dealt.join(several, "block", "left_semi")
-    ids = nodes.where("node IS NOT NULL").select(F.col("doc_id").alias("_id"), "node", "n_shingles").distinct()
-    blocks = met.join(ids, met["doc_id"].eqNullSafe(ids["_id"]))
+    frequent = frequent_shingles(surveyed)
+    dealt = common.cut(postings(docs, frequent, bits, percent), "postings")
+    several = dealt.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block")
     # sizes of linked documents differ by at most 100 / percent, so they lie in one class of that ratio or in neighbours
-    step = F.floor(F.log("n_shingles") / float(np.log(100 / percent) * (1 + 1e-9)))
-    blocks = blocks.withColumn("_class", F.explode(F.array(step, step + 1)))
-    blocks = common.cut(blocks.select(F.xxhash64("block", "_class").alias("block"), "node").distinct(), "postings")
-    blocks = common.cut(distinct_blocks(blocks), "blocks")
+    step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
+    met = dealt.join(several, "block", "left_semi").withColumn("_class", F.explode(F.array(step, step + 1)))
+    met = met.select(F.xxhash64("block", "_class").alias("region"), F.array(F.shiftright("block", bits - 16).cast("int")).alias("codes"), "node").distinct()
+    regions = common.cut(distinct_regions(common.cut(met, "met-postings")), "first-regions")
     classes = common.cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    bodies = common.cut(texts_of(docs, classes.join(blocks.select("node").distinct(), "node", "left_semi"), frequent, percent), "bodies")
-    comps = join_blocks(blocks, bodies, percent)
+    bodies = common.cut(texts_of(docs, classes.join(regions.select("node").distinct(), "node", "left_semi"), frequent, percent), "bodies")
+    comps = join_regions(regions, bodies, percent)
     if comps is not None:
         labels = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

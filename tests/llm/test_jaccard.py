@@ -37,10 +37,12 @@ def test_odd_rows(odd, empty):
     assert jaccard.cluster(odd).count() == odd.count() and jaccard.cluster(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed, leaf", [(1, 256), (2, 4)])
-def test_chains_and_hot_passages(spark, monkeypatch, seed, leaf):
-    """Drifting copies around the threshold, and documents that share a long passage but no more."""
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
+@pytest.mark.parametrize("seed, often", [(1, 3), (2, 1 << 40)])
+def test_chains_and_hot_passages(spark, monkeypatch, seed, often):
+    """Drifting copies around the threshold, documents that share a long passage but no more, a
+    large group of near copies about the threshold from each other, and short documents.  Without
+    frequent shingles the shared passages make regions that only further shingles divide."""
+    monkeypatch.setattr(jaccard, "OFTEN", often)
     rng = random.Random(seed)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     rows, text = [], list(base)
@@ -50,10 +52,23 @@ def test_chains_and_hot_passages(spark, monkeypatch, seed, leaf):
         rows.append((i, " ".join(text if i % 2 else base[: 70 + i % 9] + [f"z{i}"])))
     passage = " ".join(f"p{i}" for i in range(60))
     rows += [(100 + i, passage + " " + " ".join(f"own{i}x{k}" for k in range(rng.choice((5, 10, 40))))) for i in range(40)]
+    group = [f"g{rng.randrange(900)}" for _ in range(120)]
+    for i in range(150):
+        words = [w if rng.random() > rng.choice((0.005, 0.02, 0.04)) else f"r{i}" for w in group]
+        rows.append((200 + i, " ".join(words)))
+    rows += [(400 + i, "six words that they all share " + " ".join(f"far{i}x{k}" for k in range(12 + i % 3))) for i in range(60)]
+    rows += [(500 + i, " ".join(f"s{k}" for k in range(i % 12))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard.cluster(df).collect()) == brute(rows)
 
 
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, text), (2, text + " end"), (3, text[: len(text) // 2])]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == (299_996, 1) and found[2] == (299_997, 1) and found[3][1] == 3
+
+
 def test_bound_never_drops_a_link(spark):
     rng = np.random.default_rng(3)
     rows = []
