@@ -5,8 +5,8 @@ A document is the set of its 5-word shingles; documents link at a Jaccard simila
 a metric, so the join runs by pivots: documents that could link meet in regions, each region gets
 pivots, the distances of its documents to them are exact wherever a link is possible, every
 document goes to the Voronoi region of its nearest pivot, and by the triangle inequality also to
-each region that it could link into.  Regions are joined recursively, with twice the pivots each
-time, until none holds two components.
+each region that it could link into.  Regions are joined recursively, with three times the pivots
+each time, until none holds two components.
 
 Documents far apart share no pivot, so the first division is by shingles: linked documents share
 one of the first shingles of their sets in any common order.  The order puts the most frequent
@@ -232,7 +232,7 @@ def unsettled(regions: DataFrame, comps: DataFrame | None) -> DataFrame:
     known = regions.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = known.groupBy("region", "comp").agg(F.count("*").alias("_c")).groupBy("region").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.sum("_c").alias("_n"), F.count("*").alias("_k"))
     per = per.where("_k > 1").select("region", F.col("_top.comp").alias("main"), ((F.col("_n") - F.col("_top._c")) * F.col("_n")).alias("_work"), F.col("_top._c").alias("_c"))
-    known = common.cut(known.join(per, "region"), "known-regions")
+    known = known.join(per, "region")
     members = known.where("_c > 1").groupBy("main", "node").agg(F.first("comp").alias("comp"))
     merged = members.groupBy("main").agg((F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)) * F.count("*")).alias("_after"))
     before = known.where("_c > 1").groupBy("region", "main").agg(F.first("_work").alias("_work")).groupBy("main").agg(F.sum("_work").alias("_before"), F.count("*").alias("_r"))
@@ -270,9 +270,9 @@ def divided(regions: DataFrame, pivots: DataFrame, near: DataFrame, radius: floa
     distance isn't measured stays in."""
     nearest = near.groupBy("region", "node").agg(F.min("d").alias("nearest"))
     beyond = near.join(nearest, ["region", "node"]).where(F.col("d") > F.col("nearest") + 2 * radius + 1e-9).select("region", "node", "pivot")
-    beyond = common.cut(beyond, "beyond")
     if beyond.isEmpty():
         return regions
+    beyond = common.cut(beyond, "beyond")
     some = beyond.select("region").distinct()
     parts = regions.join(some, "region", "left_semi").join(pivots.select("region", "pivot"), "region").join(beyond, ["region", "node", "pivot"], "left_anti")
     parts = parts.select(F.xxhash64("region", "pivot").alias("part"), "codes", "node", "region")
@@ -289,19 +289,38 @@ def chosen(regions: DataFrame, parts: DataFrame) -> DataFrame:
     return common.cut(regions.join(better, "region", "left_anti").unionByName(new), "divided")
 
 
+def hooked(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after the links (a, b): each component takes the smallest number among
+    those linked with it, and then that one's own.  Equal numbers are always connected; where
+    connected nodes still differ, later rounds or the end bring them together."""
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if comps is not None:
+        ends = ends.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        ends = ends.select("a", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    else:
+        ends = ends.select("a", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    ends = common.cut(ends, "ends")
+    least = common.cut(ends.groupBy("ca").agg(F.least("ca", F.min("cb")).alias("low")), "hooks")
+    least = least.join(least.select(F.col("ca").alias("low"), F.col("low").alias("lower")), "low").select("ca", F.least("low", "lower").alias("low"))
+    nodes = ends.select(F.col("a").alias("node"), F.col("ca").alias("comp"))
+    nodes = (nodes if comps is None else nodes.unionByName(comps.select("node", "comp"))).distinct()
+    return common.cut(nodes.join(least, nodes["comp"] == least["ca"], "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")
+
+
 def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node and comp of the nodes that link within ``regions`` (region, codes, node); None if none does.
 
-    Each round: pivots of every region (the smallest by hash in each of 1, 2, 4, ... parts, outside
+    Each round: pivots of every region (the smallest by hash in each of 1, 3, 9, ... parts, outside
     the main component), exact distances to them of the nodes of other components that may link
     with them, components so far, and the regions that are left.  A pivot has met all that it could
     link with in its region and leaves it, so the rounds end."""
     radius, level, comps, known = (100 - percent) / 100, 0, None, None
+    linked = F.col("common") * 100 >= F.col("union") * percent
     while True:
         regions = common.cut(unsettled(regions, comps), "regions")
         if regions.isEmpty():
-            return comps
-        part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << level))
+            return None if comps is None else components(known.where(linked))
+        part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3**level))
         pivots = regions.where("main IS NULL OR comp <> main").groupBy("region", part.alias("_part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("_p"))
         pivots = common.cut(pivots.select("region", F.col("_p.node").alias("pivot"), F.col("_p.comp").alias("_comp")), "pivots")
         met = regions.join(pivots, "region").where("comp <> _comp").select("region", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
@@ -310,21 +329,17 @@ def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT)
         pairs = possible(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), bodies, percent)
         fresh = common.cut(verify(pairs, bodies), "distances")
         known = fresh if known is None else known.unionByName(fresh)
-        linked = F.col("common") * 100 >= F.col("union") * percent
         if not fresh.where(linked).isEmpty():
-            comps = components(known.where(linked))
+            comps = hooked(comps, fresh.where(linked))
         left = regions.select("region", "codes", "node").join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        left = common.cut(left, "left")
         near = met.join(known, ["a", "b"]).select("region", "node", "pivot", (1 - F.col("common") / F.col("union")).alias("d"))
         left = divided(left, pivots, near, radius)
         # where no pivot linked anything, documents have little but the region's shingle in common
-        idle = met.join(known.where(linked), ["a", "b"]).select("region").distinct()
-        idle = left.where(F.size("codes").between(1, DEPTH - 1)).join(idle, "region", "left_anti")
+        idle = left.where(F.size("codes").between(1, DEPTH - 1)).join(near.where(F.col("d") <= radius).select("region").distinct(), "region", "left_anti")
         wide = idle.join(bodies.select("node", "n"), "node").groupBy("region").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"))
         wide = wide.where("_n * _n > _s").select("region")  # less is cheaper met by pivots
-        parts = common.cut(by_shingle(left.join(wide, "region", "left_semi"), bodies), "by-shingle")
-        if not parts.isEmpty():
-            left = chosen(left, parts)
+        if not wide.isEmpty():
+            left = chosen(left, common.cut(by_shingle(left.join(wide, "region", "left_semi"), bodies), "by-shingle"))
         regions, level = left, level + 1
 
 
