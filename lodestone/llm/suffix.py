@@ -26,7 +26,7 @@ from . import common
 
 LENGTH, GRAM, SHALLOW = 100, 32, 24
 #: Bytes hashed at a time, segments of one anchor sorted at a time, segments of one task at least.
-PIECE, CHUNK, BUCKET = 1 << 21, 1024, 4096
+PIECE, CHUNK, BUCKET = 1 << 19, 1024, 4096
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 _powers: list[np.ndarray] = []
@@ -70,8 +70,8 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = (least[at] & _LOW).astype(np.int64)
     first = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))
     start, count, anchor = at[first], np.diff(np.append(np.flatnonzero(first), len(at))), anchor[first]
-    place = mix(((anchor - start) * 128 + count).astype(np.uint64))
-    whole = mix(((total[start + count + LENGTH - 1] - total[start]) * inverse[start]) ^ place)
+    raw, ends = data.tobytes(), (start + count + LENGTH - 1).tolist()
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], d) for a, b, d in zip(start.tolist(), ends, (anchor - start).tolist())), np.uint64, len(start))
     return owner[start], start, count, grams[anchor], whole
 
 
@@ -84,7 +84,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         rows, starts, chunks = zip(*parts)
         return np.concatenate(chunks), np.array([len(c) for c in chunks]), np.array(rows), np.array(starts)
 
-    for row, value in enumerate(batch.column(1)):
+    for row, value in enumerate(batch.column(2)):
         buffer = value.as_buffer()
         data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
         step = PIECE - LENGTH + 1
@@ -99,9 +99,14 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield joined()
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, h and text: rows that repeat a doc_id with another text are told apart by its hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), F.col("text"))
+
+
 def anchors(docs: DataFrame, bits: int, whole: bool) -> DataFrame:
-    """anchor (``bits`` bits of its hash) of every segment and, if ``whole``, doc_id, at (its first
-    window in the text), n (windows) and seg (the segment's hash)."""
+    """anchor (``bits`` bits of its hash) of every segment and, if ``whole``, doc_id, h, at (its first
+    window in the text), n (windows) and seg (the hash of the segment's bytes and its anchor's place)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +117,10 @@ def anchors(docs: DataFrame, bits: int, whole: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([key], names=["anchor"])
                     continue
                 offset = np.cumsum(sizes) - sizes
-                yield pa.RecordBatch.from_arrays([key, batch.column(0).take(pa.array(rows[owner])), pa.array(at - offset[owner] + starts[owner]), pa.array(count), pa.array(seg.view(np.int64))], names=["anchor", "doc_id", "at", "n", "seg"])
+                of = pa.array(rows[owner])
+                yield pa.RecordBatch.from_arrays([key, batch.column(0).take(of), batch.column(1).take(of), pa.array(at - offset[owner] + starts[owner]), pa.array(count), pa.array(seg.view(np.int64))], names=["anchor", "doc_id", "h", "at", "n", "seg"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "anchor long, doc_id long, at long, n long, seg long" if whole else "anchor long")
+    return identified(docs).mapInArrow(emit, "anchor long, doc_id long, h int, at long, n long, seg long" if whole else "anchor long")
 
 
 def blind_tries(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +179,7 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     """Of the segments of a bucket: the runs of windows that have an earlier equal one here (digest
     null), and of anchors sorted in chunks the digest of each window that has none."""
     docs = table["doc_id"].fill_null(-(1 << 63)).to_numpy()
-    at, count, chunks = (table[c].to_numpy() for c in ("at", "n", "chunks"))
+    at, count, chunks, hashes = (table[c].to_numpy() for c in ("at", "n", "chunks", "h"))
     body = table["body"].combine_chunks()
     body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
     sizes = np.array([len(x) for x in body.to_pylist()], np.int64)
@@ -184,12 +190,12 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     order, group = deep_shallow(data, place)
     cls = np.empty(len(order), np.int64)
     cls[order] = group
-    doc, where = docs[segment], at[segment] + inner
-    by = np.lexsort((where, doc, cls))
+    doc, h, where = docs[segment], hashes[segment], at[segment] + inner
+    by = np.lexsort((where, h, doc, cls))
     lead = by[np.append(True, cls[by][1:] != cls[by][:-1])[: len(by)]]
     first = np.empty(len(order), np.int64)
     first[by] = np.repeat(lead, np.diff(np.append(np.flatnonzero(np.append(True, cls[by][1:] != cls[by][:-1])[: len(by)]), len(by))))
-    gone = (doc != doc[first]) | (where != where[first])
+    gone = (doc != doc[first]) | (h != h[first]) | (where != where[first])
     begin = gone & ~(np.append(False, gone[:-1]) & np.append(False, segment[1:] == segment[:-1]))[: len(gone)]
     runs = np.flatnonzero(begin)
     long = np.add.reduceat(gone, runs) if len(runs) else runs
@@ -198,65 +204,66 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     raw = data.tobytes()
     digest = [xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in place[hot].tolist()]
     return pa.table({
-        "doc_id": null(np.concatenate([doc[runs], doc[hot]])), "at": pa.array(np.concatenate([where[runs], where[hot]]), pa.int64()),
+        "doc_id": null(np.concatenate([doc[runs], doc[hot]])), "h": pa.array(np.concatenate([h[runs], h[hot]]), pa.int32()), "at": pa.array(np.concatenate([where[runs], where[hot]]), pa.int64()),
         "n": pa.array(np.concatenate([long, np.ones(len(hot), np.int64)]), pa.int64()), "digest": pa.array([None] * len(runs) + digest, pa.binary()),
     })
 
 
 def _pressed(docs: DataFrame) -> DataFrame:
-    """_id and body: the text, compressed before it is dealt out by document."""
+    """_id, _h and body: the text, compressed before it is dealt out by document."""
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["_id", "body"])
+            body = pa.array([tool.compress(t.as_buffer() if t.is_valid else b"") for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], names=["_id", "_h", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").mapInArrow(press, "_id long, body binary")
+    return identified(docs).mapInArrow(press, "_id long, _h int, body binary")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The segments of ``wanted`` (doc_id, list of anchor, seg, at, n, k) with their bytes."""
+    """The segments of ``wanted`` (doc_id, h, list of anchor, seg, at, n, k) with their bytes."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         names = ("anchor", "seg", "at", "n", "k")
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc, body, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: list[list] = [[] for _ in range(8)]
+            for doc, h, body, parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = tool.decompress(body)
                 for p in parts:
                     found = raw[p["at"] : p["at"] + p["n"] + LENGTH - 1]
-                    if len(found) == p["n"] + LENGTH - 1:
-                        for column, x in zip(out, (doc, *(p[c] for c in names), found)):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:6]] + [pa.array(out[6], pa.binary())], names=["doc_id", *names, "body"])
+                    for column, x in zip(out, (doc, h, *(p[c] for c in names), found)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out[:7])] + [pa.array(out[7], pa.binary())], names=["doc_id", "h", *names, "body"])
 
-    joined = _pressed(docs).join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "body", "parts")
-    return joined.mapInArrow(cut_out, "doc_id long, anchor long, seg long, at long, n long, k long, body binary")
+    joined = _pressed(docs).join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("doc_id", "h", "body", "parts")
+    return joined.mapInArrow(cut_out, "doc_id long, h int, anchor long, seg long, at long, n long, k long, body binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, at and n: runs of n windows, the first at byte ``at``, that occur earlier too."""
+    """doc_id, h (hash of the text), at and n: runs of n windows, the first at byte ``at``, that occur earlier too."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     bits = min(62, max(16, int(size * 2 // (LENGTH - GRAM + 2) + 1).bit_length() + 8))
     several = anchors(docs, bits, False).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     met = common.cut(anchors(docs, bits, True).join(several, "anchor", "left_semi"), "segments")
-    firsts = met.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("n").alias("n"), F.count("*").alias("c"))
+    firsts = met.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.first("n").alias("n"), F.count("*").alias("c"))
     firsts = common.cut(firsts, "first-segments")
-    copies = met.join(firsts.where("c > 1").select("anchor", "seg", "first"), ["anchor", "seg"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at", "n")
+    copies = met.join(firsts.where("c > 1").select("anchor", "seg", "first"), ["anchor", "seg"]).where(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("first"))).select("doc_id", "h", "at", "n")
     mixed = firsts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = firsts.join(mixed, "anchor").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "seg", F.col("first.at").alias("at"), "n", "k")).alias("parts"))
+    wanted = firsts.join(mixed, "anchor").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct("anchor", "seg", F.col("first.at").alias("at"), "n", "k")).alias("parts"))
     bodies = common.cut(_bodies(docs, wanted), "segment-bytes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bodies.count() // BUCKET)
-    dealt = bodies.dropDuplicates(["doc_id", "at", "n"]).withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("long"))
+    dealt = bodies.dropDuplicates(["doc_id", "h", "at", "n"]).withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("long"))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("anchor", F.pmod("seg", "chunks")), F.lit(buckets)))
-    found = dealt.select("bucket", "doc_id", "at", "n", "chunks", "body").groupBy("bucket").applyInArrow(_sorted_bucket, "doc_id long, at long, n long, digest binary")
+    found = dealt.select("bucket", "doc_id", "h", "at", "n", "chunks", "body").groupBy("bucket").applyInArrow(_sorted_bucket, "doc_id long, h int, at long, n long, digest binary")
     found = common.cut(found, "sorted")
     leads = found.where("digest IS NOT NULL")
-    earliest = leads.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    later = leads.join(earliest, "digest").where(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at", "n")
-    return copies.unionByName(found.where("digest IS NULL").select("doc_id", "at", "n")).unionByName(later)
+    earliest = leads.groupBy("digest").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
+    later = leads.join(earliest, "digest").where(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("first"))).select("doc_id", "h", "at", "n")
+    return copies.unionByName(found.where("digest IS NULL").select("doc_id", "h", "at", "n")).unionByName(later)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -264,8 +271,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     each maximal removed run) of every row.
 
     Null and empty texts, and texts of less than 100 bytes, lose nothing; rows that repeat a
-    doc_id count as one document; other columns are ignored; an empty table stays empty."""
-    gone = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # at most a document's own
+    doc_id with the same text count as one document, and of those with another text that with the
+    smaller hash is the earlier; null ids come first; other columns are ignored; an empty table
+    stays empty.  Equal segments are equal by 64 bits of hash beside those of their anchor."""
+    gone = repeats(docs).groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # at most a document's own
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
@@ -285,7 +294,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    joined = _pressed(docs).join(gone, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(F.col("_id").alias("doc_id"), "body", "runs")
+    joined = _pressed(docs).join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left").select(F.col("_id").alias("doc_id"), "body", "runs")
     return joined.mapInArrow(take_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 

@@ -56,7 +56,7 @@ def test_long_text_in_parts(spark, monkeypatch):
     rng = random.Random(6)
     text = "".join(rng.choice("abcdefgh ") for _ in range(9000))
     rows = [(1, text + text[100:3000]), (2, text[4000:8000])]
-    batch = suffix.pa.RecordBatch.from_arrays([suffix.pa.array([1, 2]), suffix.pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    batch = suffix.pa.RecordBatch.from_arrays([suffix.pa.array([1, 2]), suffix.pa.array([0, 0]), suffix.pa.array([t for _, t in rows])], names=["doc_id", "h", "text"])
     monkeypatch.setattr(suffix, "PIECE", 2048)
     windows = [set() for _ in rows]
     for data, sizes, where, starts in suffix._texts(batch):
@@ -73,3 +73,19 @@ def test_odd_rows(odd, empty):
     known = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     assert result(known) == brute([(r["doc_id"], r["text"]) for r in known.collect()])
     assert suffix.dedup(odd).count() == odd.count() and suffix.dedup(empty).count() == 0
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(300)
+    rows = [(1, passage + word(50)), (2, word(600)), (2, word(40) + passage + word(200)), (2, word(200) + passage), (3, word(30) + passage)]
+    assert result(spark.createDataFrame(rows + rows[1:2], "doc_id long, text string")) == sorted(brute(rows) + [next(r for r in brute(rows) if r[1] == 600)])
+
+
+def test_text_of_megabytes(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefgh ", k=2_200_000))
+    rows = [(1, text + text), (2, text[1_000_000:1_500_000] + "end")]
+    got = {r[0]: r[1:4] for r in result(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {1: (4_400_000, 2_200_000, 1), 2: (500_003, 500_000, 1)}
