@@ -40,3 +40,14 @@ def test_empty_and_wordless(empty, spark):
 def test_draw_keeps_columns(odd):
     drawn = mixing.draw(odd)
     assert drawn.columns == odd.columns and 0 < drawn.count() <= 3 * odd.count()
+
+
+def test_draw_meets_the_targets_with_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a", "w " * 20, 0)] * 4 + [(5, "b", "v " * 20, 0)] * 2 + [(None, None, "u " * 10, 0), (None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _id int")
+    targets = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    assert mixing.mix(docs).columns == ["doc_id", "source", "_id", "size", "source_size", "target", "virtual_finish", "taken"]
+    drawn = {}
+    for r in mixing.draw(docs).collect():
+        drawn[r["source"]] = drawn.get(r["source"], 0) + len(r["text"].split())
+    assert drawn.keys() == targets.keys() and all(abs(drawn[s] - targets[s]) <= 10 for s in drawn)
