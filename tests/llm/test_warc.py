@@ -55,3 +55,20 @@ def test_damage_is_seen(spark, pages):
     bad[1][2][5] ^= 1
     with pytest.raises(Exception, match="damaged"):
         warc.read(spark.createDataFrame(bad, warc.CHUNKS)).collect()
+
+
+def test_damage_in_a_middle_chunk_is_found_there(spark):
+    page = spark.createDataFrame([(1, "u", "abcdefghij" * 600)], "page_id long, url string, html string")
+    chunks = sorted(warc.write(warc.plan_records(page), 1000).collect(), key=lambda c: c["chunk"])
+    assert len(chunks) == 8
+    bad = [(c["record"], c["chunk"], bytearray(c["data"]), "0" * 64 if c["chunk"] == 2 else c["payload_digest"]) for c in chunks]
+    with pytest.raises(Exception, match="damaged chunk 2"):
+        warc.read(spark.createDataFrame(bad, warc.CHUNKS)).collect()
+
+
+def test_payload_of_a_hundred_megabytes(spark):
+    from pyspark.sql import functions as F
+
+    page = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef"), 7_000_000).alias("html"))
+    row = warc.read(warc.write(warc.plan_records(page))).collect()[0]
+    assert (row["payload_bytes"], row["payload_digest"]) == (112_000_000, hashlib.sha256(b"0123456789abcdef" * 7_000_000).hexdigest())
