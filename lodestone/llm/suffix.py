@@ -26,7 +26,7 @@ from . import common
 
 LENGTH, GRAM, SHALLOW = 100, 32, 24
 #: Bytes hashed at a time, segments of one anchor sorted at a time, segments of one task at least.
-PIECE, CHUNK, BUCKET = 1 << 19, 1024, 4096
+PIECE, CHUNK, BUCKET = 1 << 19, 1024, 1024
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 _powers: list[np.ndarray] = []
