@@ -12,9 +12,9 @@ Documents far apart share no pivot, so the first division is by shingles: linked
 one of the first shingles of their sets in any common order.  The order puts the most frequent
 shingles last, which keeps common passages from making regions.  Where pivots link nothing, a
 region is divided the same way by a second and a third shingle.  Equal sets are one node
-throughout, pivots are taken outside a region's largest component and meet other components only,
-and regions with the same largest component become one, so a large group of copies or near copies
-costs a few rows a document and is never expanded into pairs.
+throughout, a pivot meets the nodes of other components only, most pivots are of a region's largest
+component, and regions with the same largest component become one: a large group of copies or near
+copies costs a few rows a document and isn't expanded into pairs.
 """
 
 from __future__ import annotations
@@ -310,8 +310,8 @@ def hooked(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node and comp of the nodes that link within ``regions`` (region, codes, node); None if none does.
 
-    Each round: pivots of every region (the smallest by hash in each of 1, 3, 9, ... parts, outside
-    the main component), exact distances to them of the nodes of other components that may link
+    Each round: pivots of every region (the smallest by hash in each of 1, 3, 9, ... parts),
+    exact distances to them of the nodes of other components that may link
     with them, components so far, and the regions that are left.  A pivot has met all that it could
     link with in its region and leaves it, so the rounds end."""
     radius, level, comps, known = (100 - percent) / 100, 0, None, None
@@ -321,7 +321,7 @@ def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT)
         if regions.isEmpty():
             return None if comps is None else components(known.where(linked))
         part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3**level))
-        pivots = regions.where("main IS NULL OR comp <> main").groupBy("region", part.alias("_part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("_p"))
+        pivots = regions.groupBy("region", part.alias("_part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("_p"))
         pivots = common.cut(pivots.select("region", F.col("_p.node").alias("pivot"), F.col("_p.comp").alias("_comp")), "pivots")
         met = regions.join(pivots, "region").where("comp <> _comp").select("region", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         met = common.cut(met, "met")
@@ -332,6 +332,7 @@ def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT)
         if not fresh.where(linked).isEmpty():
             comps = hooked(comps, fresh.where(linked))
         left = regions.select("region", "codes", "node").join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
+        left = common.cut(left, "left")
         near = met.join(known, ["a", "b"]).select("region", "node", "pivot", (1 - F.col("common") / F.col("union")).alias("d"))
         left = divided(left, pivots, near, radius)
         # where no pivot linked anything, documents have little but the region's shingle in common
@@ -359,8 +360,9 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # sizes of linked documents differ by at most 100 / percent, so they lie in one class of that ratio or in neighbours
     step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
     met = dealt.join(several, "block", "left_semi").withColumn("_class", F.explode(F.array(step, step + 1)))
-    met = met.select(F.xxhash64("block", "_class").alias("region"), F.array(F.shiftright("block", bits - 16).cast("int")).alias("codes"), "node").distinct()
-    regions = common.cut(distinct_regions(common.cut(met, "met-postings")), "first-regions")
+    met = met.select(F.xxhash64("block", "_class").alias("region"), F.shiftright("block", bits - 16).cast("int").alias("code"), "node").distinct()
+    regions = distinct_regions(common.cut(met, "met-postings"))
+    regions = common.cut(regions.select("region", F.array("code").alias("codes"), "node"), "first-regions")
     classes = common.cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
     bodies = common.cut(texts_of(docs, classes.join(regions.select("node").distinct(), "node", "left_semi"), frequent, percent), "bodies")
     comps = join_regions(regions, bodies, percent)
