@@ -179,16 +179,17 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
 
     Null text stays null with no line; lines without a word stay; rows that repeat a doc_id with
     the same text count as one document; an empty table stays empty."""
-    gone = drops(docs, min_words, near_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "key", "near")).alias("_gone"))
-    docs = docs.drop("n_lines", "n_exact", "n_near", "_gone")
-    joined = _pressed(docs).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs = docs.drop("n_lines", "n_exact", "n_near")
+    own_id, own_gone = common.fresh(docs, "_id"), common.fresh(docs, "_gone")
+    gone = drops(docs.select("doc_id", "text"), min_words, near_words).groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_list(F.struct("line", "key", "near")).alias(own_gone))
+    joined = _pressed(docs).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), "left").drop(own_id)
     names = docs.columns
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, counts = [], []
-            at, last = batch.schema.get_field_index("text"), batch.schema.get_field_index("_gone")
+            at, last = batch.schema.get_field_index("text"), batch.schema.get_field_index(own_gone)
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
                 if text is None:
                     texts.append(None)

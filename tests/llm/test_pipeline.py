@@ -40,8 +40,22 @@ def test_run_takes_all_stages(spark):
 
 
 def test_odd_rows(spark, odd, empty):
-    for docs in (odd.drop("size", "rejected_by"), empty.drop("size", "rejected_by")):
-        out = docs
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, out, DATA)
-        assert out.count() >= 0
+    from pyspark.sql import functions as F
+
+    stages = dict(corpus_pipeline.STAGES)
+    clashing = odd.withColumns({"_id": F.lit(1), "_gone": F.lit("g"), "_s": F.lit(2.5)})
+    kept = stages["quality_rules"](spark, clashing, DATA)
+    assert kept.columns == clashing.columns and {r["rejected_by"] for r in kept.collect()} == {"x"}
+    lined = stages["line_dedup"](spark, clashing, DATA)
+    assert lined.columns == clashing.columns and lined.count() == odd.count() and {r["_gone"] for r in lined.collect()} == {"g"}
+    more = clashing.unionByName(clashing.where("doc_id IS NULL OR doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    alone = stages["near_duplicates"](spark, more, DATA)
+    ids = sorted((r["doc_id"] for r in alone.collect()), key=lambda x: (x is not None, x))
+    # 6 is a copy of 5, 7 a near copy, and so is 5 without its id; the row without id stays once, 5 in both of its rows
+    assert alone.columns == clashing.columns and ids == [None, *sorted([5, *(k for k in range(14) if k not in (6, 7))])]
+    mixed = stages["source_mixing"](spark, clashing, DATA)
+    assert mixed.columns == clashing.columns and 0 < mixed.count() <= 3 * odd.count() and all((r["text"] or "").split() for r in mixed.collect())
+    packed = stages["best_fit_packing"](spark, clashing, DATA)
+    assert packed.select("doc_id").distinct().count() == clashing.select("doc_id").distinct().count()
+    for stage in stages.values():
+        assert stage(spark, empty, DATA).count() == 0
