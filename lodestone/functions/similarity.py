@@ -10,18 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def _common_prefix(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with a whole row of the table in one integer."""
-    if len(a) < len(b):
-        a, b = b, a
-    masks: dict[str, int] = {}
+    """Length of the longest common subsequence, with a whole row of the table in one integer.
+    Common ends are counted as they are; steps go by the characters of the shorter text."""
+    start = _common_prefix(a, b)
+    a, b = a[start:], b[start:]
+    end = _common_prefix(a[::-1], b[::-1])
+    a, b = (x[: len(x) - end] for x in sorted((a, b), key=len))
+    places: dict[str, list[int]] = {}
     for i, c in enumerate(b):
-        masks[c] = masks.get(c, 0) | 1 << i
+        places.setdefault(c, []).append(i)
     full = row = (1 << len(b)) - 1
+    bits = {c: _bits(places[c], len(b)) for c in {*a} & places.keys()}
     for c in a:
-        match = row & masks.get(c, 0)
-        row = (row + match | row - match) & full
-    return len(b) - row.bit_count()
+        mask = bits.get(c)
+        if mask is not None:
+            match = row & mask
+            row = (row + match | row ^ match) & full
+    return start + end + len(b) - row.bit_count()
+
+
+def _bits(places: list[int], size: int) -> int:
+    """The integer with these bits set."""
+    made = bytearray(size // 8 + 1)
+    for i in places:
+        made[i >> 3] |= 1 << (i & 7)
+    return int.from_bytes(made, "little")
 
 
 def indel(a: str, b: str) -> float:
@@ -61,6 +83,12 @@ indel_ratio_empty = F.pandas_udf(_pairwise(_digits), DoubleType())  #: both empt
 difflib_ratio = F.pandas_udf(_pairwise(_train), DoubleType())  #: both empty: 1; one: 0
 
 
+def unless_equal(measure, a: str, b: str, equal: Column | float) -> Column:
+    """``measure`` of two texts; equal ones don't leave the JVM and get ``equal``."""
+    same = F.coalesce(F.col(a), F.lit("")) == F.coalesce(F.col(b), F.lit(""))
+    return F.when(same, equal).otherwise(measure(F.when(~same, F.col(a)), F.when(~same, F.col(b))))
+
+
 def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(empty))
 

@@ -1,82 +1,146 @@
 """Pair features in the profiles serve, train and legacy.
 
 Input pairs have s1_name, s1_addr, c_name, c_addr (and for legacy the countries and cand_source)
-beside keys, which stay.  Serve is the default for training and scoring alike.
+beside keys, which stay, or the ids s1 and cand of a table of records.  Serve is the default for training and scoring alike.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text
-from . import stats
+from . import blocking, stats
 
 FIELDS = ("name", "addr")
-NAMES = [f"{f}_{m}" for f in FIELDS for m in ("exact", "char_sim", "token_jaccard", "token_overlap", "length_ratio")] + [
-    f"{f}_{m}" for f in FIELDS for m in ("prefix4", "suffix4", "shared_tokens", "weighted_overlap")] + ["number_overlap", "first_number_match", "digit_similarity"]
-
-
-def _of_field(field: str, profile: str) -> dict[str, Column]:
-    a, b = f"s1_{field}", f"c_{field}"
-    serve, x, y = profile == "serve", f"_{a}", f"_{b}"
-    exact = F.col(a) == F.col(b)
-    return {
-        "exact": sim.flag(exact if profile == "train" else exact & (F.col(a) != "")),
-        "char_sim": (sim.difflib_ratio if profile == "train" else sim.indel_ratio)(a, b),
-        "token_jaccard": sim.jaccard(x, y),
-        "token_overlap": sim.overlap(x, y),
-        "length_ratio": sim.length_ratio(a, b),
-        "prefix4": sim.prefix4(a, b, not serve),
-        "suffix4": sim.suffix4(a, b, not serve),
-        "shared_tokens": sim.shared(x, y).cast("double"),
-    }
+#: The feature names in the order of the output schema.
+NAMES = [
+    "name_exact", "name_char_sim", "name_token_jaccard", "name_token_overlap", "name_length_ratio",
+    "addr_exact", "addr_char_sim", "addr_token_jaccard", "addr_token_overlap", "addr_length_ratio",
+    "name_prefix4", "name_suffix4", "name_shared_tokens", "name_weighted_overlap",
+    "addr_prefix4", "addr_suffix4", "addr_shared_tokens", "addr_weighted_overlap",
+    "number_overlap", "first_number_match", "digit_similarity",
+]
+
+
+#: By profile, the shortest token and whether a text counts a token once.
+TOKENS = {"serve": (2, False), "train": (1, True), "legacy": (2, True)}
+SIDES = ("s1", "c")
+
+
+def _measures(profile: str, char: bool) -> dict[str, Column]:
+    """The features, but for the weighted overlaps, of rows with the texts {side}_{field} and, made
+    of them, _{side}_{field}_n and _{side}_{field}_d (tokens, distinct tokens), _both_{field}
+    (distinct tokens in common), _{side}_numbers, _{side}_first and _{side}_digits."""
+    serve, made = profile == "serve", {}
+    ratio, digits = (sim.difflib_ratio,) * 2 if profile == "train" else (sim.indel_ratio, sim.indel_ratio_empty)
+    for f in FIELDS:
+        a, b, both = f"s1_{f}", f"c_{f}", F.size(f"_both_{f}")
+        exact = F.col(a) == F.col(b)
+        n, d = ([F.col(f"_{s}_{f}_{m}") for s in SIDES] for m in "nd")
+        made |= {
+            f"{f}_exact": sim.flag(exact if profile == "train" else exact & (F.col(a) != "")),
+            f"{f}_token_jaccard": sim.share(both, d[0] + d[1] - both, 1.0),
+            f"{f}_token_overlap": sim.share(both, F.least(*n)),
+            f"{f}_length_ratio": sim.length_ratio(a, b),
+            f"{f}_prefix4": sim.prefix4(a, b, not serve),
+            f"{f}_suffix4": sim.suffix4(a, b, not serve),
+            f"{f}_shared_tokens": both.cast("double"),
+        }
+        if char:
+            made[f"{f}_char_sim"] = sim.unless_equal(ratio, a, b, 1.0 if profile == "train" else (F.col(a) != "").cast("double"))
+    made |= {"number_overlap": sim.overlap("_s1_numbers", "_c_numbers"), "first_number_match": sim.flag((F.col("_s1_first") == F.col("_c_first")) & (F.col("_s1_first") != ""))}
+    if char:
+        made["digit_similarity"] = sim.unless_equal(digits, "_s1_digits", "_c_digits", 1.0)
+    return made
 
 
-def with_tokens(pairs: DataFrame, profile: str) -> DataFrame:
-    """Token lists of the four texts: serve keeps repeats and drops single characters, train has
-    sets of all tokens, legacy sets without single characters."""
-    least, distinct = {"serve": (2, False), "train": (1, True), "legacy": (2, True)}[profile]
-    return pairs.withColumns({f"_{s}_{f}": text.tokens(f"{s}_{f}", least, distinct) for s in ("s1", "c") for f in FIELDS})
+def _of_texts(name: str, addr: str, profile: str) -> dict[str, Column]:
+    """Number lists, first number and digits of a record's texts."""
+    whole = F.concat_ws(" ", name, addr)
+    return {"numbers": text.numbers(whole, profile != "serve", profile != "serve"), "first": text.first_number(whole), "digits": text.digits_only(whole)}
 
 
 def token_features(pairs: DataFrame, profile: str = "serve", char: bool = False) -> DataFrame:
-    """All features but the weighted overlaps; without ``char`` also without those of characters."""
-    made = {f"{f}_{m}": c for f in FIELDS for m, c in _of_field(f, profile).items() if char or m != "char_sim"}
-    unicode_digits = profile != "serve"
-    whole = [F.concat_ws(" ", f"{s}_name", f"{s}_addr") for s in ("s1", "c")]
-    numbers = [text.numbers(w, profile != "serve", unicode_digits) for w in whole]
-    first = [text.first_number(w) for w in whole]
-    made |= {"number_overlap": sim.overlap(*numbers), "first_number_match": sim.flag((first[0] == first[1]) & (first[0] != ""))}
-    if char:
-        made["digit_similarity"] = (sim.difflib_ratio if profile == "train" else sim.indel_ratio_empty)(*map(text.digits_only, whole))
-    helpers = [f"_{s}_{f}" for s in ("s1", "c") for f in FIELDS]
-    return with_tokens(pairs, profile).withColumns(made).drop(*helpers)
-
-
-def weighted_overlap(pairs: DataFrame, keys: list[str], field: str, weights: DataFrame, profile: str = "serve") -> DataFrame:
-    """keys and {field}_weighted_overlap: the weight of shared tokens over the smaller total.  In
-    serve totals count repeats and a denominator of 0 gives null; in train sets and 0."""
-    x, y = f"_s1_{field}", f"_c_{field}"
-    lists = with_tokens(pairs, profile).select(*keys, x, y)
-    sides = lists.select(*keys, F.explode(F.array(F.struct(F.lit("a").alias("role"), F.col(x).alias("t")), F.struct(F.lit("b").alias("role"), F.col(y).alias("t")), F.struct(F.lit("s").alias("role"), F.array_intersect(x, y).alias("t")))).alias("side"))
-    weighed = sides.select(*keys, "side.role", F.explode("side.t").alias("token")).join(weights, "token", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    per = weighed.groupBy(*keys).agg(*(F.sum(F.when(F.col("role") == r, F.col("w"))).alias(f"_{r}") for r in "abs"))
-    joined = lists.select(*keys, x, y).join(per, keys, "left")
-    low = F.least("_a", "_b")
-    value = F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.try_divide(F.coalesce("_s", F.lit(0.0)), low))
-    return joined.select(*keys, (value if profile == "serve" else F.coalesce(F.when(low > 0, value), F.lit(0.0))).alias(f"{field}_weighted_overlap"))
+    """All features but the weighted overlaps, from the pairs' own texts; without ``char`` also
+    without those of characters."""
+    lists = {f"_{s}_{f}": text.tokens(f"{s}_{f}", *TOKENS[profile]) for s in SIDES for f in FIELDS}
+    counts = {f"{x}_n": F.size(x) for x in lists} | {f"{x}_d": F.size(F.array_distinct(x)) for x in lists}
+    both = {f"_both_{f}": F.array_intersect(f"_s1_{f}", f"_c_{f}") for f in FIELDS}
+    others = {f"_{s}_{k}": c for s in SIDES for k, c in _of_texts(f"{s}_name", f"{s}_addr", profile).items()}
+    return pairs.withColumns(lists).withColumns(counts | both | others).withColumns(_measures(profile, char)).drop(*lists, *counts, *both, *others)
+
+
+def _identified(pairs: DataFrame, records: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs with _s1 and _c, and the records of those ids: those given, or the distinct
+    records that the pairs' texts make."""
+    if records is not None:
+        return pairs.withColumns({"_s1": F.col("s1"), "_c": F.col("cand")}), records.select("entity_id", *FIELDS)
+    texts = {s: [F.coalesce(F.col(f"{s}_{f}"), F.lit("")) for f in FIELDS] for s in SIDES}
+    key = {s: F.concat(*map(F.md5, texts[s])) for s in SIDES}
+    own = [F.struct(key[s].alias("entity_id"), *(c.alias(f) for f, c in zip(FIELDS, texts[s]))) for s in SIDES]
+    return pairs.withColumns({f"_{s}": key[s] for s in SIDES}), pairs.select(F.inline(F.array(*own))).dropDuplicates(["entity_id"])
+
+
+def weighed(records: DataFrame, weights: DataFrame, profile: str = "serve") -> DataFrame:
+    """entity_id and for each field n (tokens), total (their weight) and list: its distinct tokens,
+    each with its weight after a tab, so that equal entries are equal tokens and strings intersect
+    by hash.  ``weights``: field, token, w; tokens that it lacks weigh 1."""
+    posted = F.concat(*(F.transform(text.tokens(f, *TOKENS[profile]), lambda t: F.struct(F.lit(f).alias("field"), t.alias("token"))) for f in FIELDS))
+    counted = records.select("entity_id", F.inline(posted)).groupBy("entity_id", "field", "token").agg(F.count("*").alias("n"))
+    known = counted.join(weights, ["field", "token"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    entry = F.concat("token", F.lit("\t"), F.col("w").cast("string"))
+    per = {"n": lambda own: F.sum(F.when(own, F.col("n"))), "total": lambda own: F.sum(F.when(own, F.col("n") * F.col("w"))), "list": lambda own: F.collect_list(F.when(own, entry))}
+    return known.groupBy("entity_id").agg(*(make(F.col("field") == f).alias(f"{f}_{m}") for f in FIELDS for m, make in per.items()))
+
+
+def _joined(pairs: DataFrame, keys: list[str], weights: DataFrame, profile: str, records: DataFrame | None) -> DataFrame:
+    """keys and what ``_measures`` and ``_weighted`` read; all that depends on one record is made
+    once for each record and joined by its id.  A missing record is empty text."""
+    pairs, records = _identified(pairs, records)
+    made = records.withColumns(_of_texts(*FIELDS, profile)).join(weighed(records, weights, profile), "entity_id", "left")
+    for side in SIDES:
+        names = {"entity_id": f"_{side}"} | {f: f"{side}_{f}" for f in FIELDS}
+        own = made.select(*(F.col(c).alias(names.get(c, f"_{side}_{c}")) for c in made.columns))
+        pairs = (pairs.select(*keys, "_s1", "_c") if side == "s1" else pairs).join(own, f"_{side}", "left")
+    sides = [(s, f) for s in SIDES for f in FIELDS]
+    pairs = pairs.fillna("", [f"{s}_{f}" for s, f in sides]).fillna(0, [f"_{s}_{f}_n" for s, f in sides])
+    lists = [f"_{s}_{f}_list" for s, f in sides] + [f"_{s}_numbers" for s in SIDES]
+    pairs = pairs.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+    both = {f"_both_{f}": F.array_intersect(f"_s1_{f}_list", f"_c_{f}_list") for f in FIELDS}
+    return pairs.withColumns({f"_{s}_{f}_d": F.size(f"_{s}_{f}_list") for s, f in sides} | both)
+
+
+def _weighted(field: str, profile: str) -> Column:
+    low = F.least(f"_s1_{field}_total", f"_c_{field}_total")
+    both = F.aggregate(f"_both_{field}", F.lit(0.0), lambda s, x: s + F.substring_index(x, "\t", -1).cast("double"))
+    value = F.when((F.col(f"_s1_{field}_n") == 0) | (F.col(f"_c_{field}_n") == 0), 0.0).otherwise(F.try_divide(both, low))
+    return value if profile == "serve" else F.coalesce(F.when(low > 0, value), F.lit(0.0))
+
+
+def weighted_overlap(pairs: DataFrame, keys: list[str], field: str, weights: DataFrame, profile: str = "serve", records: DataFrame | None = None) -> DataFrame:
+    """keys and {field}_weighted_overlap: the weight (``weights``: token, w) of shared tokens over
+    the smaller total.  In serve totals count repeats and a denominator of 0 gives null; in train
+    sets and 0.  With ``records`` the texts are those of s1 and cand there."""
+    made = _joined(pairs, keys, weights.withColumn("field", F.lit(field)), profile, records)
+    return made.select(*keys, _weighted(field, profile).alias(f"{field}_weighted_overlap"))
 
 
 def features(pairs: DataFrame, keys: list[str], records: DataFrame | None = None, profile: str = "serve") -> DataFrame:
-    """The 21 features.  Weights come from ``records`` (all sources) in serve, from the pairs'
-    own texts in train."""
-    out = token_features(pairs, profile, char=True)
-    for field in FIELDS:
-        weights = stats.local_weights(pairs) if profile == "train" or records is None else stats.vocabulary_weights(records, field)
-        out = out.join(weighted_overlap(pairs, keys, field, weights, profile), keys)
-    return out.select(*keys, *(F.col(n).cast("float").alias(n) for n in NAMES))
+    """The 21 features.  With ``records`` (all sources, entity_id unique) pairs need s1 and cand
+    only: texts and, in serve, token weights come from there.  Without, both come from the pairs'
+    own texts."""
+    if profile == "train" or records is None:
+        texts = pairs if records is None else blocking.with_text(pairs.select("s1", "cand"), records)
+        weights = stats.local_weights(texts).withColumn("field", F.explode(F.array(*map(F.lit, FIELDS))))
+    else:
+        weights = reduce(DataFrame.unionByName, (stats.vocabulary_weights(records, f).withColumn("field", F.lit(f)) for f in FIELDS))
+    made = _joined(pairs, keys, weights, profile, records)
+    made = made.select(*keys, *(c.alias(n) for n, c in _measures(profile, True).items()), *(_weighted(f, profile).alias(f"{f}_weighted_overlap") for f in FIELDS))
+    return made.select(*keys, *(F.col(n).cast("float").alias(n) for n in NAMES))
 
 
 def legacy(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -293,7 +293,7 @@ sums AS (SELECT s1, cand, sum(w) FILTER (WHERE role = 'a') AS wa, sum(w) FILTER
 SELECT s1, cand, round(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE coalesce(ws, 0) / nullif(least(wa, wb), 0) END, 6) AS {f}_weighted_overlap FROM ptok LEFT JOIN sums USING (s1, cand)"""
 for _f, _a, _b in (("name", "an", "bn"), ("addr", "aa", "ba")):
     on_records(f"a9_{_f}_weighted_overlap", WEIGHTED.format(v=VOCAB.format(f=_f), a=_a, b=_b, f=_f))(
-        lambda r, f=_f: rounded(features.weighted_overlap(blocking.with_text(fixture.pairs(r), r), ["s1", "cand"], f, stats.vocabulary_weights(r, f)), f"{f}_weighted_overlap"))
+        lambda r, f=_f: rounded(features.weighted_overlap(fixture.pairs(r), ["s1", "cand"], f, stats.vocabulary_weights(r, f), records=r), f"{f}_weighted_overlap"))
 on_records("a10_pair_statistics", "SELECT count(*) AS n_pairs, count(DISTINCT s1) AS n_queries, count(*) FILTER (WHERE cand_source = 2) AS n_source2, count(*) FILTER (WHERE cand_source = 3) AS n_source3 FROM pair")(
     lambda r: fixture.pairs(r).agg(F.count("*").alias("n_pairs"), F.countDistinct("s1").alias("n_queries"), F.count_if(F.col("cand_source") == 2).alias("n_source2"), F.count_if(F.col("cand_source") == 3).alias("n_source3")))
 LISTS = "SELECT s1 AS source1_entity_id, coalesce(string_agg(cand, ',' ORDER BY {o}), '') AS {c} FROM ent LEFT JOIN {t} USING (s1) GROUP BY s1"
@@ -352,8 +352,8 @@ on_records("u4_set_operations", "SELECT 'both' AS part, s1, cand FROM pair JOIN
 TOKEN_NAMES = [n for n in features.NAMES if "char_sim" not in n and "weighted" not in n and n != "digit_similarity"]
 on_records("g_serve_token_features", f"SELECT s1, cand, {', '.join(f'round({n}, 6) AS {n}' for n in TOKEN_NAMES)} FROM feat")(
     lambda r: rounded(features.token_features(blocking.with_text(fixture.pairs(r), r)).select("s1", "cand", *TOKEN_NAMES), *TOKEN_NAMES))
-on_records("g_serve_features")(lambda r: features.features(blocking.with_text(fixture.pairs(r), r), ["s1", "cand", "cand_source"], r))
-on_records("g_train_features")(lambda r: features.features(blocking.with_text(fixture.truth(r), r), ["s1", "cand", "cand_source"], profile="train"))
+on_records("g_serve_features")(lambda r: features.features(fixture.pairs(r), ["s1", "cand", "cand_source"], r))
+on_records("g_train_features")(lambda r: features.features(fixture.truth(r), ["s1", "cand", "cand_source"], r, "train"))
 on_records("g_legacy_features")(lambda r: features.legacy(blocking.with_text(fixture.pairs(r), r), ["s1", "cand"]))
 on_records("u_indel_ratio")(lambda r: rounded(blocking.with_text(fixture.pairs(r), r).select("s1", "cand", sim.indel_ratio("s1_name", "c_name").alias("name_char_sim")), "name_char_sim"))
 on_records("u_digit_similarity")(lambda r: blocking.with_text(fixture.pairs(r), r).select("s1", "cand", sim.indel_ratio_empty(text.digits_only("s1_addr"), text.digits_only("c_addr")).alias("digit_similarity")))
@@ -372,7 +372,7 @@ on_records("t3_hard_negatives", NEGATIVES)(lambda r: pairs.hard_negatives(fixtur
 
 def _training(r: DataFrame) -> DataFrame:
     labelled = pairs.split(pairs.training_pairs(fixture.truth(r), r, CAP))
-    return features.features(blocking.with_text(labelled, r), ["s1", "cand", "cand_source", "label", "is_train"], r)
+    return features.features(labelled, ["s1", "cand", "cand_source", "label", "is_train"], r)
 
 
 @on_records("m1_logistic_regression")
