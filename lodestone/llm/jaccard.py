@@ -214,6 +214,14 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "body_a", "body_b").mapInArrow(sizes, "a long, b long, common long, union long")
 
 
+def needed(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``bodies`` of the nodes in ``pairs`` (a, b; a written table).  The nodes are written too,
+    so that Spark knows their size: it broadcasts them where they are below its threshold, and no
+    other body is shuffled then; else both sides are dealt by node, as the joins to come need them."""
+    ends = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends-of-pairs")
+    return bodies.join(ends, "node", "left_semi")
+
+
 def distinct_regions(regions: DataFrame) -> DataFrame:
     """``regions`` (region, codes, node) without those of one node, and with one each of those that
     hold the same nodes."""
@@ -326,8 +334,8 @@ def join_regions(regions: DataFrame, bodies: DataFrame, percent: int = PERCENT)
         met = regions.join(pivots, "region").where("comp <> _comp").select("region", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         met = common.cut(met, "met")
         pairs = met.select("a", "b").distinct()
-        pairs = possible(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), bodies, percent)
-        fresh = common.cut(verify(pairs, bodies), "distances")
+        pairs = common.cut(possible(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), bodies, percent), "possible")
+        fresh = common.cut(verify(pairs, needed(bodies, pairs)), "distances")
         known = fresh if known is None else known.unionByName(fresh)
         if not fresh.where(linked).isEmpty():
             comps = hooked(comps, fresh.where(linked))
