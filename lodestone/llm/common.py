@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every contract: space and the controls 9 to 13.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that removes the shuffle files of a statement when it ends.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: dict[str, str] = {}
 
 
@@ -22,10 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: lineage ends here,
-    so a lost executor costs one read instead of a chain of stages."""
+    so a lost executor costs one read instead of a chain of stages.  The shuffle files behind the
+    table go when it is written; nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
