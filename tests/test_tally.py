@@ -6,7 +6,7 @@ from test_catalog import value
 
 from lodestone.plans import catalog
 
-COUNTING = ["a10_pair_statistics", "a13_blocking_recall", "a14_candidate_counts", "a20_class_balance"]
+COUNTING = ["a10_pair_statistics", "a13_blocking_recall", "a14_candidate_counts", "a20_class_balance", "a8_local_weights"]
 
 
 def nodes(plan):
