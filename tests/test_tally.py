@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from test_catalog import value
 
+from lodestone.operators import tally
 from lodestone.plans import catalog
 
-COUNTING = ["a10_pair_statistics", "a13_blocking_recall", "a14_candidate_counts", "a20_class_balance", "a8_local_weights"]
+COUNTING = ["a10_pair_statistics", "a13_blocking_recall", "a14_candidate_counts", "a20_class_balance", "a8_local_weights", "a16_pair_metrics"]
 
 
 def nodes(plan):
@@ -35,7 +36,8 @@ def crowded(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", COUNTING)
-def test_equals_sql_without_listing_pairs(spark, crowded, name):
+def test_equals_sql_without_listing_pairs(spark, crowded, monkeypatch, name):
+    monkeypatch.setattr(tally, "BLOCK", 100)  # so that a name has several blocks
     path, n = crowded
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
