@@ -7,7 +7,7 @@ from test_catalog import value
 from lodestone.operators import tally
 from lodestone.plans import catalog
 
-COUNTING = ["a10_pair_statistics", "a13_blocking_recall", "a14_candidate_counts", "a20_class_balance", "a8_local_weights", "a16_pair_metrics", "a17_entity_macro", "a18_official_metric", "a19_best_threshold", "a19_entity_sweep", "a19_pair_sweep"]
+COUNTING = ["a10_pair_statistics", "a13_blocking_recall", "a14_candidate_counts", "a20_class_balance", "a8_local_weights", "a16_pair_metrics", "a17_entity_macro", "a18_official_metric", "a19_best_threshold", "a19_entity_sweep", "a19_pair_sweep", "a21_feature_summary"]
 
 
 def nodes(plan):
