@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestone.llm import jaccard
+from lodestone.llm import common, jaccard
 from lodestone.llm.components import components
 
 from .conftest import DATA, same
@@ -87,3 +87,37 @@ def test_bound_never_drops_a_link(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r["node"], r["comp"]) for r in components(edges).collect()} == {(i, 0) for i in range(51)} | {(100, 100), (101, 100)}
+
+
+def test_a_large_group_of_unlinked_near_copies_makes_few_rows(spark, monkeypatch):
+    """300 texts of one base that link with few or none of the others: components as by comparing
+    all, and rows in proportion to the texts, not to their square."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(5, 95), 4 if i % 10 else 2):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    made, real = [], common.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("met", "possible"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", 100)  # so that a region has several blocks
+    found = sorted(map(tuple, jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == brute(rows) and 1 < len({r[2] for r in found}) < 300
+    assert sum(made) < 40 * len(rows), made
+
+
+def test_common_counts_are_exact():
+    rng = np.random.default_rng(3)
+    for n, m, kinds in ((1, 1, 5), (40, 30, 60), (60, 70, 100_000)):
+        own, other = ([np.unique(rng.integers(0, kinds, 200)).astype(np.uint64) for _ in range(k)] for k in (n, m))
+        assert jaccard.in_common(own, other).tolist() == [[len(np.intersect1d(x, y)) for y in other] for x in own]
+    assert jaccard.in_common([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
