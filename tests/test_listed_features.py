@@ -11,7 +11,7 @@ from lodestone.operators import blocking, tally
 from lodestone.plans import catalog, fixture
 
 
-@pytest.mark.parametrize("name", ["a9_addr_weighted_overlap", "u_digit_similarity"])
+@pytest.mark.parametrize("name", ["a9_addr_weighted_overlap", "g_serve_token_features", "u_digit_similarity"])
 def test_equal_without_a_shuffle_of_pairs(spark, crowded, monkeypatch, name):  # noqa: F811
     monkeypatch.setattr(tally, "BLOCK", 50)  # so that a name has several parts
     path, n = crowded
