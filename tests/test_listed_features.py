@@ -7,7 +7,7 @@ from test_tally import crowded, nodes  # noqa: F401
 
 from lodestone.functions import similarity as sim
 from lodestone.functions import text
-from lodestone.operators import blocking, tally
+from lodestone.operators import blocking, features, tally
 from lodestone.plans import catalog, fixture
 
 
@@ -29,3 +29,9 @@ def test_equal_without_a_shuffle_of_pairs(spark, crowded, monkeypatch, name):  #
     assert mine == sorted(tuple(map(value, r)) for r in want)
     written = [m.get().value() for p in nodes(df._jdf.queryExecution().executedPlan()) if "Exchange" in p.nodeName() and (m := p.metrics().get("shuffleRecordsWritten")).isDefined()]
     assert max(written, default=0) < 50 * n < len(mine), max(written, default=0)
+
+
+def test_all_features_of_paired_records(spark):
+    r, keys = fixture.records(spark, "/root/testdata/sf0.001"), ["s1", "cand", "cand_source"]
+    made, want = (sorted(map(tuple, features.features(p, keys, r).collect())) for p in (fixture.paired(r), fixture.pairs(r)))
+    assert repr(made) == repr(want) and len(made) > 100
