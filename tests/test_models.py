@@ -23,3 +23,10 @@ def test_models_are_whole(spark, monkeypatch, name, kind, wanted):
     out = catalog.QUERIES[name](spark, DATA)
     assert {k: seen[k] for k in wanted} == wanted and scored == [features.NAMES]
     assert out.columns == ["s1", "cand", "label", "probability", "predicted"] and out.where("probability BETWEEN 0 AND 1").count() == out.count() > 0
+
+
+def test_features_for_fitting_are_made_once(spark):
+    from lodestone.plans import fixture
+
+    data = catalog._training(fixture.records(spark, DATA))
+    assert data.count() > 0 and all("/training-" in f for f in data.inputFiles())
