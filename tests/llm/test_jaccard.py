@@ -121,3 +121,33 @@ def test_common_counts_are_exact():
         own, other = ([np.unique(rng.integers(0, kinds, 200)).astype(np.uint64) for _ in range(k)] for k in (n, m))
         assert jaccard.in_common(own, other).tolist() == [[len(np.intersect1d(x, y)) for y in other] for x in own]
     assert jaccard.in_common([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
+def test_only_nodes_near_a_pivot_are_joined_to_their_distances(spark, monkeypatch):
+    """A region of three pivots: the division is that by all distances, and of the pairs met only
+    those nearer than a node can leave a pivot by make rows."""
+    rng = random.Random(6)
+    nodes, pivots = range(100, 160), (1, 2, 3)
+    sizes = {(p, y): (rng.randrange(60, 70) if y < 108 and p == y % 3 + 1 else rng.randrange(5, 45), 100) for p in pivots for y in nodes if rng.random() < 0.9}
+    rows = lambda data, schema: spark.createDataFrame(list(data), schema)
+    regions = rows([(7, [1], y) for y in nodes], "region long, codes array<int>, node long")
+    known = rows([(*k, *v) for k, v in sizes.items()], "a long, b long, common long, union long")
+    met = rows([(7, y, p, p, y) for p in pivots for y in nodes], "region long, node long, pivot long, a long, b long")
+    made, real = {}, common.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    found = jaccard.divided(regions, rows([(7, p) for p in pivots], "region long, pivot long"), met, known, 0.25).collect()
+    assert made["nearest"] <= 8 and 0 < made["beyond"] <= 16, made
+    away = lambda p, y: 1 - sizes[p, y][0] / 100
+    stays = lambda p, y: (p, y) not in sizes or away(p, y) <= min(away(q, y) for q in pivots if (q, y) in sizes) + 0.5 + 1e-9
+    parts = {frozenset(y for y in nodes if stays(p, y)) for p in pivots}
+    whole = {frozenset(nodes)}
+    got = {}
+    for r in found:
+        got.setdefault(r["region"], set()).add(r["node"])
+    assert {frozenset(g) for g in got.values()} == (parts if sum(len(p) ** 2 for p in parts) < len(nodes) ** 2 else whole)
