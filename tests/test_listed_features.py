@@ -35,3 +35,12 @@ def test_all_features_of_paired_records(spark):
     r, keys = fixture.records(spark, "/root/testdata/sf0.001"), ["s1", "cand", "cand_source"]
     made, want = (sorted(map(tuple, features.features(p, keys, r).collect())) for p in (fixture.paired(r), fixture.pairs(r)))
     assert repr(made) == repr(want) and len(made) > 100
+
+
+@pytest.mark.parametrize("name", ["g_serve_token_features"])
+def test_pairs_of_equal_names_are_measured_in_blocks(spark, crowded, name):  # noqa: F811
+    path, n = crowded
+    df = catalog.QUERIES[name](spark, path)
+    assert len(df.collect()) > 100 * n
+    met = [m.get().value() for p in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName() and (m := p.metrics().get("numOutputRows")).isDefined()]
+    assert met and max(met) < 20 * n, max(met)  # no join makes a row for each pair
