@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestone.functions import similarity as sim
 from lodestone.functions.similarity import indel, lcs_length
 from lodestone.operators import features
 
@@ -58,3 +59,14 @@ def _table(a, b):
 def test_lcs_equals_table(a, b):
     assert lcs_length(a, b) == lcs_length(b, a) == _table(a, b)
     assert 0 <= indel(a, b) <= 1 and indel(a, a) == 1
+
+
+@given(st.lists(st.text("abé", max_size=90), min_size=1, max_size=5), st.lists(st.text("abé", max_size=90), min_size=1, max_size=5), st.sampled_from([64, 300, 1 << 17]))
+@settings(max_examples=100, deadline=None)
+def test_lcs_of_many_equals_that_of_each(mine, other, row):
+    before, sim.ROW = sim.ROW, row
+    try:
+        assert sim.lcs_lengths(mine, other).tolist() == [[lcs_length(a, b) for b in other] for a in mine]
+    finally:
+        sim.ROW = before
+    assert sim.indels(mine, other, 1.0).ravel().tolist() == pytest.approx([indel(a, b) if a and b else float(a == b) for a in mine for b in other])
