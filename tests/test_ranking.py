@@ -29,3 +29,26 @@ def test_best_pairs_of_large_groups(spark, crowded):  # noqa: F811
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, full.select(*columns).collect()))
     met = max(m.get().value() for p in nodes(best._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName() and (m := p.metrics().get("numOutputRows")).isDefined())
     assert 0 < met < full.count() * 8
+
+
+def test_no_pair_is_dealt_anew_with_its_tokens(spark, crowded, monkeypatch):  # noqa: F811
+    """Also with fewer parts than shuffle partitions, and without broadcasts."""
+    plans, kept = [], ranking.files.kept
+
+    def seen(df, name, **settings):
+        made = kept(df, name, **settings)
+        if name == "second-stage":
+            for k, v in settings.items():
+                spark.conf.set(k.replace("_", "."), v)
+            plans.append(df.selectExpr("*")._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(ranking.files, "kept", seen)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ranking.rank(fixture.records(spark, crowded[0]), 50, 20)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plans and plans[0].count("REPARTITION_BY_NUM") == 3 and "ENSURE_REQUIREMENTS" not in plans[0]
